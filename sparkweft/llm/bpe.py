@@ -41,6 +41,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in set(visible) else next(rest)) for b in range(256)]
 
 
+#: Marks a word that no space stands before; no plain text has it.
+NO_SPACE = "\x01"
+
+
 class Cache(dict):
     """A dict that makes what is missing, and starts anew when it is full."""
 
@@ -84,7 +88,9 @@ class Encoder:
             self.token_bytes[i] = token.encode()
         self.uncut = [row.tobytes() for row in self.joined]
         self.ids = Cache(self._ids_of, cache)
-        self.decimals = Cache(lambda t: ",".join(map(str, np.frombuffer(self.ids[t], "<u4").tolist())), cache)
+        self.word_ids = Cache(self._ids_of_word, 2 * cache)
+        self.word_decimals = Cache(lambda w: "".join([f"{i}," for i in np.frombuffer(self.word_ids[w], "<u4").tolist()]), 2 * cache)
+        self.runs = re.compile("[\t-\r ]{2}|[\t\x0b-\r]")
         self.fragments = Cache(lambda f: [t.id for t in self.model.tokenize(f)], cache)
 
     def cuts(self, data: bytes) -> list[int]:
@@ -95,14 +101,32 @@ class Encoder:
     def _ids_of(self, pretoken: str) -> bytes:
         data = pretoken.encode("utf-8", "surrogatepass")
         alphabet = self.alphabet
-        # With an end-of-word suffix only the last fragment ends a word: such
-        # pre-tokens are cut only where the suffix can't matter, that is not at all.
+        # An end-of-word suffix depends on what follows: such pre-tokens stay whole.
         places = [] if self.suffix else self.cuts(data)
         ids: list[int] = []
         for a, b in zip([0, *places], [*places, len(data)]):
             ids += self.fragments["".join([alphabet[x] for x in data[a:b]])]
         return np.array(ids, "<u4").tobytes()
 
+    def _ids_of_word(self, word: str) -> bytes:
+        """word: what stands between two single spaces, itself without one. In
+        byte-level vocabularies the space before belongs to it, unless it
+        begins with NO_SPACE."""
+        if not self.folds:
+            word = word[1:] if word[:1] == NO_SPACE else word if word == "\n" else " " + word
+        return b"".join(map(self.ids.__getitem__, self.pattern.findall(word)))
+
+    def words(self, text: str):
+        """The words of a plain text, or None: runs of white space depend on
+        each other, so only single spaces and line feeds are certain cuts."""
+        if UNSURE.search(text) or self.special_in in text:
+            return None
+        if self.folds:
+            return text.lower().split()
+        if self.runs.search(text):
+            return None
+        return (NO_SPACE + text.replace("\n", f" \n {NO_SPACE}")).split(" ")
+
     def pretokens(self, text: str):
         """Lists of pre-tokens, each of bounded length; special tokens' ids stand as ints."""
         parts = self.at_special.split(text) if self.special_in in text else [text]
@@ -113,19 +137,19 @@ class Encoder:
                 continue
             elif UNSURE.search(part):
                 whole = self.library.normalizer.normalize_str(part) if self.folds else part
-                for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(whole):
-                    yield [whole[a:b]]
+                found = [whole[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(whole)]
+                if found:
+                    yield found
             else:
-                part = part.lower() if self.folds else part
-                if len(part) < 1 << 22:
-                    if found := self.pattern.findall(part):
-                        yield found
-                else:
-                    each = (m.group() for m in self.pattern.finditer(part))
-                    while some := list(islice(each, 1 << 20)):
-                        yield some
+                each = (m.group() for m in self.pattern.finditer(part.lower() if self.folds else part))
+                while some := list(islice(each, 1 << 20)):
+                    yield some
 
     def encode(self, text: str) -> np.ndarray:
+        """The ids of a text of any length."""
+        words = self.words(text)
+        if words is not None:
+            return np.frombuffer(b"".join(map(self.word_ids.__getitem__, words)), "<u4")
         out = []
         for some in self.pretokens(text):
             if type(some[0]) is int:
@@ -136,15 +160,12 @@ class Encoder:
 
     def encode_decimal(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, and the same ids as decimal numbers joined by commas."""
-        out, numbers = [], []
-        for some in self.pretokens(text):
-            if type(some[0]) is int:
-                out.append(np.array(some, "<u4").tobytes())
-                numbers.append(str(some[0]))
-            else:
-                out += map(self.ids.__getitem__, some)
-                numbers += map(self.decimals.__getitem__, some)
-        return np.frombuffer(b"".join(out), "<u4"), ",".join(numbers)
+        words = self.words(text)
+        if words is None:
+            ids = self.encode(text)
+            return ids, ",".join(map(str, ids.tolist()))
+        ids = np.frombuffer(b"".join(map(self.word_ids.__getitem__, words)), "<u4")
+        return ids, "".join(map(self.word_decimals.__getitem__, words))[:-1]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
