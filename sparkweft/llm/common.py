@@ -59,3 +59,8 @@ def text_or_empty(column: str) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def id_crc(column: str) -> Column:
+    """crc32 of an id as text, which deals rows into folds; null ids go with 0."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))

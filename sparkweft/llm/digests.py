@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, simhash
-from .common import small_batches, table, text_or_empty
+from . import bpe, exact_dedup, language_id, license_scan, line_dedup, packing, sharding, simhash
+from .common import id_crc, small_batches, table, text_or_empty
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return docs.mapInArrow(_round_trip(vocabulary or public_tokenizers.path("byte_bpe_50k.json")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_simhash": op4_simhash, "op8_exact_dedup": op8_exact_dedup, "op10_bpe": op10_bpe}
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = license_scan.license_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", id_crc("doc_id") % 5 == 0)
+    model = language_id.learn(docs.where(~F.col("held_out")))
+    found = language_id.identify(docs, model, spans=False)
+    return found.select(F.col("id").alias("doc_id"), (id_crc("id") % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op2_line_dedup": op2_line_dedup, "op3_license_scan": op3_license_scan, "op4_simhash": op4_simhash, "op5_language_id": op5_language_id,
+    "op7_sharding": op7_sharding, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_bpe": op10_bpe,
+}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}

@@ -23,6 +23,7 @@ from .common import materialise, text_or_empty
 
 LENGTH, PREFIX, FULL = "__ed_length", "__ed_prefix", "__ed_full"
 KEY = [LENGTH, PREFIX, FULL]
+SALTS = 32
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -40,11 +41,9 @@ def _full(text: Column) -> Column:
 
 def surviving(keys: DataFrame) -> DataFrame:
     """The (length, prefix hash) pairs that two rows or more share."""
-    lengths = keys.groupBy(LENGTH).count().where("count > 1").select(LENGTH)
-    return (
-        keys.join(lengths, LENGTH, "left_semi")
-        .groupBy(LENGTH, PREFIX).count().where("count > 1").select(LENGTH, PREFIX)
-    )
+    pairs = keys.groupBy(LENGTH, PREFIX).agg(F.count(F.lit(1)).alias("n"))
+    lengths = pairs.groupBy(LENGTH).agg(F.sum("n").alias("rows")).where("rows > 1").select(LENGTH)
+    return pairs.join(lengths, LENGTH, "left_semi").where("n > 1").select(LENGTH, PREFIX)
 
 
 def _order(id_col: str) -> Column:
@@ -71,12 +70,10 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "exact-keys",
     )
     survivors = surviving(keys)
-    classes = (
-        keys.join(survivors, [LENGTH, PREFIX], "left_semi")
-        .groupBy(*KEY)
-        .agg(F.min(F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).alias("id"), F.col("__ed_row").alias("row"))).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
+    # Counted before it meets the survivors: copies don't travel to the join.
+    counted = keys.groupBy(*KEY).agg(
+        F.min(F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).alias("id"), F.col("__ed_row").alias("row"))).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    classes = counted.join(survivors, [LENGTH, PREFIX], "left_semi").where("group_size > 1")
     # Joined on the full hash alone: it decides equality, and is spread evenly.
     joined = keys.join(classes.select(FULL, "keep", "group_size"), FULL, "left")
     return joined.select(
@@ -96,7 +93,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = normalised(text_col)
     keyed = docs.withColumns({LENGTH: F.length(text), PREFIX: _prefix(text, prefix)})
     survivors = materialise(surviving(materialise(keyed.select(LENGTH, PREFIX), "exact-prefixes")).withColumn("__ed_in", F.lit(True)), "exact-survivors")
-    marked = keyed.join(survivors, [LENGTH, PREFIX], "left").withColumn(FULL, F.when(F.col("__ed_in"), _full(text)))
+    # Texts travel to this join: salted, so that a hot text is spread over tasks.
+    salted = survivors.withColumn("__ed_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = keyed.withColumn("__ed_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    marked = keyed.join(salted, [LENGTH, PREFIX, "__ed_salt"], "left").withColumn(FULL, F.when(F.col("__ed_in"), _full(text)))
     classes = materialise(text_classes(marked.where("__ed_in").select(*KEY, id_col), id_col), "exact-classes")
     # A null key never joins: rows that did not survive pass by unmatched.
     joined = marked.join(classes.select(FULL, "keep_id", "group_size", "n_first"), FULL, "left")
