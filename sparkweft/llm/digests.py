@@ -10,10 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, line_dedup, packing, sharding, simhash
+from . import ann, bpe, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, packing, sharding, simhash
 from .common import id_crc, small_batches, table, text_or_empty
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.lm_scores(table(spark, sf_dir, "documents"), id_crc("doc_id") % 10 == 0)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
@@ -109,8 +114,12 @@ def op9_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
-    "op2_line_dedup": op2_line_dedup, "op3_license_scan": op3_license_scan, "op4_simhash": op4_simhash, "op5_language_id": op5_language_id,
-    "op7_sharding": op7_sharding, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_bpe": op10_bpe,
+    "op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_license_scan": op3_license_scan, "op4_simhash": op4_simhash, "op5_language_id": op5_language_id,
+    "op6_ann": op6_ann, "op7_sharding": op7_sharding, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_bpe": op10_bpe,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}

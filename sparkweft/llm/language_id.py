@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,3 +241,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double" + (", spans array<struct<first_word:long,words:long,lang:string>>" if spans else "")
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_predict(spark.sparkContext.broadcast(model), spans, penalty), schema)
+
+
+def _keeps(model, text_at: int, penalty: float):
+    predict = _predict(model, False, penalty)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(text_at)
+            found = next(predict(iter([pa.RecordBatch.from_arrays([text, text], ["id", "text"])])))
+            yield batch.filter(pa.compute.not_equal(found.column(1), "und"))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """The rows of docs in which a language was found, with their own columns."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    return docs.mapInArrow(_keeps(spark.sparkContext.broadcast(model), docs.columns.index(text_col), penalty), docs.schema)
