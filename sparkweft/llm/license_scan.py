@@ -83,7 +83,7 @@ def license_spans(docs: DataFrame, text_col: str = "text", templates: dict[str,
     hashes = [r.hash for r in places.select("hash").distinct().collect()]  # of the templates: a parameter
     with_words = docs.withColumn("__ls_words", words(text_col))
     pairs = F.zip_with(
-        F.slice(F.col("__ls_words"), F.lit(1), F.greatest(F.size("__ls_words") - 1, F.lit(0))), F.slice("__ls_words", 2, 2147483647),
+        F.slice(F.col("__ls_words"), F.lit(1), F.greatest(F.size("__ls_words") - 1, F.lit(0))), F.slice(F.col("__ls_words"), F.lit(2), F.greatest(F.size("__ls_words") - 1, F.lit(0))),
         lambda a, b: F.struct(pair_hash(a, b).alias("hash"), a.alias("first"), b.alias("second")),
     )
     numbered = F.transform(pairs, lambda p, i: F.struct(p["hash"].alias("hash"), p["first"].alias("first"), p["second"].alias("second"), i.alias("pos")))
