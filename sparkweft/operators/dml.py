@@ -114,7 +114,7 @@ class Insert:
         sets = [self.conflict] if self.conflict else [u for u in (t.primary_key, *t.unique) if u]
         new, theirs = self.new, old
         if self.target_where is not None:
-            theirs = old.alias(self.target.name).where(_true(self.target_where))
+            theirs = old.alias(self.target.label).where(_true(self.target_where))
         for key in sets:  # of rows of one statement the first stays
             n = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
             unknown = F.lit(False)
@@ -127,7 +127,7 @@ class Insert:
             new = new.select(*t.names)
             return Written(old.unionByName(new), new)
         key = self.conflict
-        both = old.alias(self.target.name).join(new.withColumn("__new", F.lit(True)).alias("excluded"), _same(self.target.name, "excluded", key), "left")
+        both = old.alias(self.target.label).join(new.withColumn("__new", F.lit(True)).alias("excluded"), _same(self.target.label, "excluded", key), "left")
         hit = F.coalesce(F.col("excluded.__new"), F.lit(False)) & _true(self.target_where) & _true(self.update_where)
         changes = dict(self.assignments)
         updated = both.select(*[(F.when(hit, changes[n].column.cast(spark_type(t.column(n).type))).otherwise(self.target.c(n).column) if n in changes else self.target.c(n).column).alias(n) for n in t.names], hit.alias("__hit"))
@@ -198,15 +198,15 @@ class Update:
         t, base = self.target.table, self.target.frame
         if self.other is not None:
             base = base.withColumn("__row", F.monotonically_increasing_id()) if not t.primary_key else base
-            left = base.alias(self.target.name)
+            left = base.alias(self.target.label)
             hit_on = self.condition.column if self.condition is not None else F.lit(True)
-            both = left.join(self.other.frame.withColumn("__other", F.lit(True)).alias(self.other.name), hit_on, "left")
-            hit = F.coalesce(F.col(f"{self.other.name}.__other"), F.lit(False))
-            ident = [f"{self.target.name}.{k}" for k in (t.primary_key or ("__row",))]
+            both = left.join(self.other.frame.withColumn("__other", F.lit(True)).alias(self.other.label), hit_on, "left")
+            hit = F.coalesce(F.col(f"{self.other.label}.__other"), F.lit(False))
+            ident = [f"{self.target.label}.{k}" for k in (t.primary_key or ("__row",))]
             n = F.row_number().over(Window.partitionBy(*ident).orderBy(F.lit(1)))
             both = both.withColumn("__n", n).where("__n = 1")
         else:
-            both, hit = base.alias(self.target.name), _true(self.condition)
+            both, hit = base.alias(self.target.label), _true(self.condition)
         new = dict(self.changes)
         out = both.select(*[(F.when(hit, new[c].column.cast(spark_type(t.column(c).type))).otherwise(self.target.c(c).column) if c in new else self.target.c(c).column).alias(c) for c in t.names], hit.alias("__hit"))
         return Written(out.drop("__hit"), out.where("__hit").drop("__hit"))

@@ -132,7 +132,7 @@ class Query:
         if self.orders or self.count is not None:
             base = base.orderBy(*self._sort_keys())
         base = base.offset(self.skip) if self.skip else base
-        base = base.limit(self.count).alias(self.source.name) if self.count is not None else base
+        base = base.limit(self.count).alias(self.source.label) if self.count is not None else base
         return self._nested(base).select(*[self.source.c(n).column for n in self._shown()], *[F.col(f"`__rel_{r.relation.name}`").alias(r.relation.name) for r in self.relations])
 
     def _nested(self, base: DataFrame) -> DataFrame:

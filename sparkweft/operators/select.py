@@ -30,14 +30,14 @@ class Source:
 
     table: Table
     frame: DataFrame
-    name: str
+    label: str
 
     def alias(self, name: str) -> Source:
-        return replace(self, name=name)
+        return replace(self, label=name)
 
     def c(self, column: str) -> Expr:
         d = self.table.column(column)
-        return Expr(F.col(f"`{self.name}`.`{column}`"), d.type, d.nullable, "scalar", column, self.table.dialect, (self.name, column))
+        return Expr(F.col(f"`{self.label}`.`{column}`"), d.type, d.nullable, "scalar", column, self.table.dialect, (self.label, column))
 
     def __getattr__(self, column: str) -> Expr:
         if column.startswith("__"):
@@ -49,7 +49,7 @@ class Source:
         return [self.c(n) for n in self.table.names]
 
     def aliased(self) -> DataFrame:
-        return self.frame.alias(self.name)
+        return self.frame.alias(self.label)
 
 
 def sources_of(e: Any) -> set[str]:
@@ -265,10 +265,10 @@ class Select:
         return self._lock("for key share")
 
     def for_update_of(self, table: Source) -> Select:
-        return self._lock(f"for update of {table.name}")
+        return self._lock(f"for update of {table.label}")
 
     def for_share_of(self, table: Source) -> Select:
-        return self._lock(f"for share of {table.name}")
+        return self._lock(f"for share of {table.label}")
 
     def nowait(self) -> Select:
         return self._lock("nowait")
@@ -309,10 +309,10 @@ class Select:
     def nullables(self) -> list[bool]:
         """Whether each column may be null, with what outer joins add."""
         optional: set[str] = set()
-        seen = {self.source.name} if self.source else set()
+        seen = {self.source.label} if self.source else set()
         for how, t, _, _ in self.joins:
-            optional |= ({t.name} if how in ("left", "full") else set()) | (seen if how in ("right", "full") else set())
-            seen.add(t.name)
+            optional |= ({t.label} if how in ("left", "full") else set()) | (seen if how in ("right", "full") else set())
+            seen.add(t.label)
         return [e.nullable or bool(sources_of(e) & optional) and e.kind != "aggregate" for e in self._selected()]
 
     def into_cte(self, name: str) -> Source:
@@ -355,8 +355,8 @@ class Select:
         if not isinstance(c, Subquery):
             return base.where(c.column)
         inner, q = c.query, c.query
-        outer = {s.name for s in self._scope()}
-        own = {s.name for s in q._scope()} if q.source else set()
+        outer = {s.label for s in self._scope()}
+        own = {s.label for s in q._scope()} if q.source else set()
         tied = [x for x in q.condition if not isinstance(x, Subquery) and sources_of(x) & (outer - own)]
         if tied:  # correlated: these conditions become the join's
             inner = replace(q, condition=tuple(x for x in q.condition if x not in tied), items=(), orders=(), keys=())
@@ -388,8 +388,8 @@ class Select:
         by_key = {k.source for k in self.keys if k.source}
         whole = set()
         for s in self._scope():
-            if len(s.table.primary_key) == 1 and (s.name, s.table.primary_key[0]) in by_key:
-                whole.add(s.name)
+            if len(s.table.primary_key) == 1 and (s.label, s.table.primary_key[0]) in by_key:
+                whole.add(s.label)
         for e in items:
             if e.kind == "scalar" and e.source not in by_key and not any(e is k for k in self.keys):
                 leaves = _leaves(e)

@@ -63,7 +63,7 @@ class Database:
     def with_(self, *ctes: Source) -> Database:
         """CTEs are named plans: they can be used as sources, also before DML."""
         other = Database(self.spark, self.dialect, self.folder)
-        other._tables = {**self._tables, **{c.name: c for c in ctes}}
+        other._tables = {**self._tables, **{c.label: c for c in ctes}}
         return other
 
     # -- views, tables, catalog -------------------------------------------------------
