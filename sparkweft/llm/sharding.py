@@ -25,7 +25,7 @@ from .common import materialise
 
 DIGIT, DIGITS = 12, 5
 #: Bytes that a split may leave undecided, as a share of a shard's bytes.
-TOLERANCE = 0.005
+TOLERANCE = 0.03
 #: Rows of a part in which slots are numbered at once.
 PART = 50_000
 DIMENSIONS = ("__kd_size", "__kd_dense", "__kd_lines")
