@@ -34,7 +34,7 @@ def rows(table) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     ours = QUERIES[name](spark, DATA).toArrow()
-    theirs = duck.execute(ORACLES[name]).fetch_arrow_table()
+    theirs = duck.sql(ORACLES[name]).to_arrow_table()
     assert sorted(ours.column_names) == sorted(theirs.column_names)
     assert rows(ours) == rows(theirs)
 
