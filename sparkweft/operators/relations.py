@@ -133,14 +133,15 @@ class Query:
             base = base.orderBy(*self._sort_keys())
         base = base.offset(self.skip) if self.skip else base
         base = base.limit(self.count).alias(self.source.label) if self.count is not None else base
-        return self._nested(base).select(*[self.source.c(n).column for n in self._shown()], *[F.col(f"`__rel_{r.relation.name}`").alias(r.relation.name) for r in self.relations])
+        return self._nested(base, self.condition is not None or self.count is not None).select(*[self.source.c(n).column for n in self._shown()], *[F.col(f"`__rel_{r.relation.name}`").alias(r.relation.name) for r in self.relations])
 
-    def _nested(self, base: DataFrame) -> DataFrame:
+    def _nested(self, base: DataFrame, restricted: bool) -> DataFrame:
         for q in self.relations:
-            base = q._attached(base, self.source)
+            base = q._attached(base, self.source, restricted)
         return base
 
-    def _attached(self, base: DataFrame, parent: Source) -> DataFrame:
+    def _attached(self, base: DataFrame, parent: Source, restricted: bool) -> DataFrame:
+        """restricted: some parents are gone; then only children of the others take part."""
         r = self.relation
         rows, near = self._rows(), r.keys
         if r.junction:
@@ -151,12 +152,12 @@ class Query:
         else:
             own = [self.source.c(b).column.alias(f"__k{i}") for i, (_, b) in enumerate(near)]
         names = [f"__k{i}" for i in range(len(near))]
-        # Only children of parents that are left take part.
-        keys = base.select(*[parent.c(a).column.alias(n) for (a, _), n in zip(near, names)]).distinct()
-        rows = self._nested(rows)
+        rows = self._nested(rows, self.condition is not None)
         fields = [self.source.c(n).column.alias(n) for n in self._shown()] + [F.col(f"`__rel_{q.relation.name}`").alias(q.relation.name) for q in self.relations]
         numbered = F.row_number().over(Window.partitionBy(*names).orderBy("__order"))
-        child = rows.select(*own, F.struct(*fields).alias("__row"), F.struct(*[_sortable(o, i) for i, o in enumerate(self._order_parts())]).alias("__order")).join(keys, names, "left_semi")
+        child = rows.select(*own, F.struct(*fields).alias("__row"), F.struct(*[_sortable(o, i) for i, o in enumerate(self._order_parts())]).alias("__order"))
+        if restricted:
+            child = child.join(base.select(*[parent.c(a).column.alias(n) for (a, _), n in zip(near, names)]), names, "left_semi")
         if r.kind != "many":
             child = child.withColumn("__n", numbered).where("__n = 1")
             single = child.select(*names, F.col("__row").alias(f"__rel_{r.name}"))
