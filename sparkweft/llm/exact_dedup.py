@@ -96,10 +96,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts travel to this join: salted, so that a hot text is spread over tasks.
     salted = survivors.withColumn("__ed_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = keyed.withColumn("__ed_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    marked = keyed.join(salted, [LENGTH, PREFIX, "__ed_salt"], "left").withColumn(FULL, F.when(F.col("__ed_in"), _full(text)))
+    # Merged, not broadcast: the table's size on disk says little of its salted rows.
+    marked = keyed.join(salted.hint("merge"), [LENGTH, PREFIX, "__ed_salt"], "left").withColumn(FULL, F.when(F.col("__ed_in"), _full(text)))
     classes = materialise(text_classes(marked.where("__ed_in").select(*KEY, id_col), id_col), "exact-classes")
     # A null key never joins: rows that did not survive pass by unmatched.
-    joined = marked.join(classes.select(FULL, "keep_id", "group_size", "n_first"), FULL, "left")
+    joined = marked.join(classes.select(FULL, "keep_id", "group_size", "n_first").hint("merge"), FULL, "left")
     stay = joined.where(F.col("group_size").isNull() | F.col(id_col).eqNullSafe(F.col("keep_id")))
     if classes.where("n_first > 1").isEmpty():
         return stay.select(*docs.columns)

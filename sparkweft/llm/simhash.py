@@ -182,4 +182,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs with one document of each component: the one of the smallest id."""
     found = simhash_components(docs, id_col, text_col, width, radius)
     drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__sh_id")).distinct()
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__sh_id")), "left_anti").select(*docs.columns)
+    return docs.join(drop.hint("merge"), F.col(id_col).eqNullSafe(F.col("__sh_id")), "left_anti").select(*docs.columns)
