@@ -21,7 +21,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
+    return cleaned.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 OP2_SQL = r"""
@@ -31,7 +31,7 @@ WITH split AS (
   FROM documents
 ), hashed AS (
   SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h,
-         length(line) - length(replace(line, ' ', '')) >= 49 AS is_long FROM split
+         strlen(line) >= 200 AS is_long FROM split
 ), ended AS (
   SELECT *, is_long OR ((coalesce(lag(h, 2) OVER w, 0) * 961 + coalesce(lag(h, 1) OVER w, 0) * 31) % 1000003 + h) % 1000003 % 3 = 0 AS ends
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
@@ -46,12 +46,12 @@ WITH split AS (
   SELECT *, (n_lines > 1 OR is_long) AND (row_number() OVER (PARTITION BY chunk, n_lines > 1 OR is_long ORDER BY doc_id, pos)) > 1 AS gone
   FROM chunks
 ), cleaned AS (
-  SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS removed_chunks,
+  SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*) FILTER (gone) AS removed_chunks,
          coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS removed_lines,
          coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS clean
   FROM judged GROUP BY doc_id
 )
-SELECT doc_id, n_lines, n_chunks, removed_chunks, removed_lines, length(clean) AS clean_chars, sha256(clean) AS clean_sha256 FROM cleaned
+SELECT doc_id, n_lines, removed_chunks, removed_lines, length(clean) AS clean_chars, sha256(clean) AS clean_sha256 FROM cleaned
 """
 
 
