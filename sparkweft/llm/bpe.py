@@ -17,18 +17,20 @@ Defined results: null text is the empty text, with no ids; rows may repeat.
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-SPACE = r"\t-\r "  # of the characters that UNSURE lets pass
+#: Letters, digits and white space among the characters that UNSURE lets pass.
+LETTER, DIGIT, SPACE = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r "
 #: The pre-token patterns of the two kinds of vocabulary files.
-BYTE_LEVEL_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+BYTE_LEVEL_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+"
 #: Characters whose class, case and normal form no Unicode version has changed.
 UNSURE = re.compile("[^\\t-\\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u017e\u2010-\u2027]")
 
@@ -45,36 +47,46 @@ def byte_alphabet() -> list[str]:
 NO_SPACE = "\x01"
 
 
-class Cache(dict):
-    """A dict that makes what is missing, and starts anew when it is full."""
+class Generations:
+    """A bounded cache of two generations: what is asked for while the younger
+    fills moves into it, the rest is forgotten with the older."""
 
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+    def missing(self, keys) -> list:
+        """Afterwards `young` holds every key but the returned ones."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    out.append(key)
+        return out
 
 
 class Encoder:
     """Encodes texts by a vocabulary file of either kind."""
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.merger = Tokenizer(self.library.model)  # merges only: no pre-tokens, no special tokens
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.folds = spec["normalizer"] is not None
-        self.pattern = regex.compile(WORD_PATTERN if self.folds else BYTE_LEVEL_PATTERN)
+        self.pattern = re.compile(WORD_PATTERN if self.folds else BYTE_LEVEL_PATTERN)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.special_in = "<|"
-        self.alphabet = byte_alphabet()
-        byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.runs = re.compile("[\t-\r ]{2}|[\t\x0b-\r]")
+        alphabet = byte_alphabet()
+        self.alphabet = dict(enumerate(alphabet))
+        byte_of = {c: b for b, c in enumerate(alphabet)}
         self.token_bytes = [b""] * (1 + max([*spec["model"]["vocab"].values(), *self.special.values()]))
         self.joined = np.zeros((256, 256), bool)
         for token, i in spec["model"]["vocab"].items():
@@ -86,39 +98,45 @@ class Encoder:
                 self.joined[as_array[:-1], as_array[1:]] = True
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
-        self.uncut = [row.tobytes() for row in self.joined]
-        self.ids = Cache(self._ids_of, cache)
-        self.word_ids = Cache(self._ids_of_word, 2 * cache)
-        self.word_decimals = Cache(lambda w: "".join([f"{i}," for i in np.frombuffer(self.word_ids[w], "<u4").tolist()]), 2 * cache)
-        self.runs = re.compile("[\t-\r ]{2}|[\t\x0b-\r]")
-        self.fragments = Cache(lambda f: [t.id for t in self.model.tokenize(f)], cache)
+        self.decimal = [str(i) for i in range(len(self.token_bytes))]
+        self.words_known, self.pretokens_known = Generations(cache), Generations(cache)
+
+    def cuts(self, data: bytes) -> np.ndarray:
+        """Places between two bytes that stand side by side in no token."""
+        each = np.frombuffer(data, np.uint8)
+        return np.flatnonzero(~self.joined[each[:-1], each[1:]]) + 1
+
+    def _merge(self, pretokens: list[str]) -> list[bytes]:
+        """The ids of each pre-token: all are cut at once, the fragments are
+        encoded independently, and their ids concatenated."""
+        encoded = [p.encode("utf-8", "surrogatepass") for p in pretokens]
+        data = b"".join(encoded)
+        ends = np.cumsum([len(e) for e in encoded])
+        # An end-of-word suffix depends on what follows: such pre-tokens stay whole.
+        at = ends if self.suffix else np.union1d(self.cuts(data), ends)
+        stops = at.tolist()
+        shown = data.decode("latin-1").translate(self.alphabet)
+        fragments = [shown[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+        several = list(dict.fromkeys(fragments))
+        ids = {f: e.ids for f, e in zip(several, self.merger.encode_batch_fast(several, add_special_tokens=False))}
+        out, last = [], 0
+        for n in (np.searchsorted(at, ends) + 1).tolist():
+            if n == last + 1:
+                out.append(array("I", ids[fragments[last]]).tobytes())
+            else:
+                out.append(array("I", [i for f in fragments[last:n] for i in ids[f]]).tobytes())
+            last = n
+        return out
 
-    def cuts(self, data: bytes) -> list[int]:
-        """Places between bytes that no token spans."""
-        uncut = self.uncut
-        return [i for i in range(1, len(data)) if not uncut[data[i - 1]][data[i]]]
+    def _known(self, pretokens) -> dict[str, bytes]:
+        missing = self.pretokens_known.missing(pretokens)
+        if missing:
+            self.pretokens_known.young.update(zip(missing, self._merge(missing)))
+        return self.pretokens_known.young
 
-    def _ids_of(self, pretoken: str) -> bytes:
-        data = pretoken.encode("utf-8", "surrogatepass")
-        alphabet = self.alphabet
-        # An end-of-word suffix depends on what follows: such pre-tokens stay whole.
-        places = [] if self.suffix else self.cuts(data)
-        ids: list[int] = []
-        for a, b in zip([0, *places], [*places, len(data)]):
-            ids += self.fragments["".join([alphabet[x] for x in data[a:b]])]
-        return np.array(ids, "<u4").tobytes()
-
-    def _ids_of_word(self, word: str) -> bytes:
-        """word: what stands between two single spaces, itself without one. In
-        byte-level vocabularies the space before belongs to it, unless it
-        begins with NO_SPACE."""
-        if not self.folds:
-            word = word[1:] if word[:1] == NO_SPACE else word if word == "\n" else " " + word
-        return b"".join(map(self.ids.__getitem__, self.pattern.findall(word)))
-
-    def words(self, text: str):
+    def words(self, text: str) -> list[str] | None:
         """The words of a plain text, or None: runs of white space depend on
-        each other, so only single spaces and line feeds are certain cuts."""
+        each other, so only single spaces and line feeds are certain ends."""
         if UNSURE.search(text) or self.special_in in text:
             return None
         if self.folds:
@@ -127,45 +145,65 @@ class Encoder:
             return None
         return (NO_SPACE + text.replace("\n", f" \n {NO_SPACE}")).split(" ")
 
-    def pretokens(self, text: str):
-        """Lists of pre-tokens, each of bounded length; special tokens' ids stand as ints."""
-        parts = self.at_special.split(text) if self.special_in in text else [text]
-        for part in parts:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """A word stands between two single spaces, itself without one. In
+        byte-level vocabularies the space before belongs to it, unless it begins
+        with NO_SPACE."""
+        missing = self.words_known.missing(words)
+        find, folds = self.pattern.findall, self.folds
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            cut = [find(w if folds or w == "\n" else w[1:] if w[:1] == NO_SPACE else " " + w) for w in some]
+            ids = self._known({p for c in cut for p in c})
+            self.words_known.young.update((w, ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])) for w, c in zip(some, cut))
+        return self.words_known.young
+
+    def _other(self, text: str) -> bytes:
+        """Ids of a text that words() doesn't take."""
+        out = []
+        for part in self.at_special.split(text) if self.special_in in text else [text]:
             if part in self.special:
-                yield [self.special[part]]
-            elif not part:
+                out.append(array("I", [self.special[part]]).tobytes())
                 continue
-            elif UNSURE.search(part):
+            if UNSURE.search(part):
                 whole = self.library.normalizer.normalize_str(part) if self.folds else part
-                found = [whole[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(whole)]
-                if found:
-                    yield found
+                each = (whole[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(whole))
             else:
                 each = (m.group() for m in self.pattern.finditer(part.lower() if self.folds else part))
-                while some := list(islice(each, 1 << 20)):
-                    yield some
+            while some := list(islice(each, 100_000)):
+                ids = self._known(dict.fromkeys(some))
+                out += map(ids.__getitem__, some)
+        return b"".join(out)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts of any length."""
+        out: list = [None] * len(texts)
+        waiting, size = [], 0
+        for k, text in enumerate(texts):
+            words = self.words(text)
+            if words is None:
+                out[k] = np.frombuffer(self._other(text), "<u4")
+                continue
+            waiting.append((k, words))
+            size += len(words)
+            if size > 1 << 20 or k == len(texts) - 1:
+                self._encode_words(waiting, out)
+                waiting, size = [], 0
+        self._encode_words(waiting, out)
+        return out
+
+    def _encode_words(self, waiting: list, out: list) -> None:
+        if waiting:
+            ids = self._learn(set().union(*[w for _, w in waiting]))
+            for k, words in waiting:
+                out[k] = np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text of any length."""
-        words = self.words(text)
-        if words is not None:
-            return np.frombuffer(b"".join(map(self.word_ids.__getitem__, words)), "<u4")
-        out = []
-        for some in self.pretokens(text):
-            if type(some[0]) is int:
-                out.append(np.array(some, "<u4").tobytes())
-            else:
-                out += map(self.ids.__getitem__, some)
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def encode_decimal(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids, and the same ids as decimal numbers joined by commas."""
-        words = self.words(text)
-        if words is None:
-            ids = self.encode(text)
-            return ids, ",".join(map(str, ids.tolist()))
-        ids = np.frombuffer(b"".join(map(self.word_ids.__getitem__, words)), "<u4")
-        return ids, "".join(map(self.word_decimals.__getitem__, words))[:-1]
+        return self.encode_batch([text])[0]
+
+    def shown(self, ids: np.ndarray) -> str:
+        """Ids as decimal numbers joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

@@ -77,9 +77,8 @@ def _round_trip(path: str):
         encoder = bpe.encoder(path)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids, decimal = encoder.encode_decimal(text)
-                rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
+            for ids in encoder.encode_batch(batch.column(1).to_pylist()):
+                rows.append((len(ids), hashlib.sha256(encoder.shown(ids).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
             n, of_ids, of_text = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

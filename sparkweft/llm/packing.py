@@ -45,8 +45,8 @@ def _cut(path: str, capacity: int, end: int, kind: pa.DataType):
         encoder, last = bpe.encoder(path), np.array([end], "<u4")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate((encoder.encode(text), last))
+            for doc, own in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist())):
+                ids = np.concatenate((own, last))
                 rows += [(doc, k, at, len(part := ids[at : at + capacity]), zlib.crc32(part.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
             columns = list(zip(*rows)) or [()] * 5
             types = (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64())
