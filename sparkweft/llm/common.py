@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs no more than the tasks it ran."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
