@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, packing, sharding, simhash
+from . import ann, bpe, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, packing, passage_dedup, sharding, simhash
 from .common import id_crc, small_batches, table, text_or_empty
 
 
@@ -55,6 +55,11 @@ SELECT doc_id, n_lines, removed_chunks, removed_lines, length(clean) AS clean_ch
 """
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = passage_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "removed_passages", "removed_lines", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -119,6 +124,6 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_license_scan": op3_license_scan, "op4_simhash": op4_simhash, "op5_language_id": op5_language_id,
-    "op6_ann": op6_ann, "op7_sharding": op7_sharding, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_bpe": op10_bpe,
+    "op6_ann": op6_ann, "op7_sharding": op7_sharding, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_bpe": op10_bpe, "op2_passage_dedup": op2_passage_dedup,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
