@@ -489,6 +489,18 @@ def _(db):
     return db.select(a.o_orderkey.alias("a"), b.o_orderkey.alias("b")).from_(a).join(b, cmp.eq(a.o_custkey, b.o_custkey) & cmp.lt(a.o_orderkey, b.o_orderkey)).where(cmp.lt(a.o_custkey, 20))
 
 
+@query("sop_self_join_next", """
+WITH placed AS (SELECT o_custkey AS owner, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT a.k AS a, b.k AS b FROM placed a JOIN placed b ON a.owner = b.owner AND b.n = a.n + 1""")
+def _(db):
+    """Each order with the next order of its customer."""
+    o = db.orders
+    place = agg.row_number().over(window().partition_by(o.o_custkey).order_by(asc(o.o_orderkey)))
+    placed = db.select(o.o_custkey.alias("owner"), o.o_orderkey.alias("k"), place.alias("n")).from_(o).into_cte("placed")
+    a, b = placed.alias("a"), placed.alias("b")
+    return db.with_(placed).select(a.k.alias("a"), b.k.alias("b")).from_(a).join(b, cmp.eq(a.owner, b.owner) & cmp.eq(b.n, a.n + 1))
+
+
 # -- nulls and conditions ------------------------------------------------------------------------
 
 ORDERS = ("orders", "o_orderkey")
@@ -680,6 +692,12 @@ def _(db):
     return q.where(F.size("parts") > 0).select("o_orderkey", F.size("parts").cast("bigint").alias("n"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, x: a + x["p_size"]).alias("sizes"))
 
 
+@query("rel_many_to_many_whole", "SELECT o_orderkey, CAST(count(p_partkey) AS BIGINT) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS sizes FROM orders LEFT JOIN (lineitem JOIN part ON p_partkey = l_partkey) ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def _(db):
+    q = Query(db.orders).with_(many_to_many("parts", db.orders, db.lineitem, db.part)).df()
+    return q.select("o_orderkey", F.size("parts").cast("bigint").alias("n"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, x: a + x["p_size"]).alias("sizes"))
+
+
 @query("rel_children_order_limit", """
 SELECT c_custkey, CAST(n - 1 AS INTEGER) AS pos, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) ON o_custkey = c_custkey AND n <= 3""")
 def _(db):
