@@ -272,6 +272,23 @@ for _how, _kind in {"join": "INNER", "inner_join": "INNER", "left_join": "LEFT",
     _joined(_how, _kind)
 
 
+def _joined_whole(how: str, kind: str) -> None:
+    """Whole tables; in outer joins a condition in ON leaves rows of both sides without a match."""
+    more = "" if kind == "INNER" else " AND o_orderstatus = 'O' AND l_linenumber > 1"
+
+    @query(f"joi_{how}_whole", f"SELECT o_orderkey, o_custkey, l_orderkey, l_linenumber, l_partkey FROM orders {kind} JOIN lineitem ON l_orderkey = o_orderkey{more}")
+    def f(db):
+        o, l = db.orders, db.lineitem  # noqa: E741
+        on = cmp.eq(l.l_orderkey, o.o_orderkey)
+        if more:
+            on = on & cmp.eq(o.o_orderstatus, "O") & cmp.gt(l.l_linenumber, 1)
+        return getattr(db.select(o.o_orderkey, o.o_custkey, l.l_orderkey, l.l_linenumber, l.l_partkey).from_(o), how)((l, on))
+
+
+for _how, _kind in {"join": "INNER", "inner_join": "INNER", "left_join": "LEFT", "left_outer_join": "LEFT", "right_join": "RIGHT", "right_outer_join": "RIGHT", "full_join": "FULL", "full_outer_join": "FULL"}.items():
+    _joined_whole(_how, _kind)
+
+
 @query("joi_cross_join", "SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation")
 def _(db):
     """The one product of the language, of two tables of fixed size."""

@@ -19,3 +19,16 @@ def test_relations_and_self_join(spark, sizes):
     assert QUERIES["rel_many_to_many_whole"](spark, DATA).count() == sizes["orders"]
     customers = spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey").distinct().count()
     assert QUERIES["sop_self_join_next"](spark, DATA).count() == sizes["orders"] - customers
+
+
+@pytest.mark.parametrize("how", ["join", "inner_join", "left_join", "left_outer_join", "right_join", "right_outer_join", "full_join", "full_outer_join"])
+def test_joins_meet_every_row(spark, sizes, how):
+    rows = QUERIES[f"joi_{how}_whole"](spark, DATA).collect()
+    items = sum(r.l_orderkey is not None for r in rows)
+    orders = len({r.o_orderkey for r in rows if r.o_orderkey is not None})
+    if how in ("join", "inner_join") or how.startswith(("right", "full")):
+        assert items == sizes["lineitem"]
+    if how.startswith(("left", "full")):
+        assert orders == sizes["orders"] and any(r.l_orderkey is None for r in rows)
+    if how.startswith(("right", "full")):
+        assert any(r.o_orderkey is None for r in rows)
