@@ -106,6 +106,16 @@ def flagship(db):
     )
 
 
+@query("flagship_order_report_whole", ORACLES["flagship_order_report"].removesuffix(" ORDER BY o_orderkey LIMIT 50"))
+def flagship_whole(db):
+    """The flagship report over all orders."""
+    o, l = db.orders, db.lineitem  # noqa: E741
+    return (
+        db.select(o.o_orderkey, o.o_orderstatus, o.o_orderdate, agg.count(l.l_orderkey).alias("n_items"), fn.coalesce(agg.sum_(fn.cast(l.l_quantity, "int8")), 0).alias("quantity"), fn.coalesce(agg.sum_(cents(l.l_extendedprice)), 0).alias("cents"))
+        .from_(o).left_join(l).group_by(o.o_orderkey)
+    )
+
+
 # -- scans, projections --------------------------------------------------------------------
 
 
@@ -456,6 +466,16 @@ for _d, _asc, _desc in (("pg", "NULLS LAST", "NULLS FIRST"), ("sqlite", "NULLS F
         return db.select(db.orders.o_orderkey, s).from_(db.orders).order_by(desc(s), asc(db.orders.o_orderkey)).limit(40)
 
 
+for _d, _asc, _desc in (("pg", "NULLS LAST", "NULLS FIRST"), ("sqlite", "NULLS FIRST", "NULLS LAST")):
+    for _way, _by, _nulls in (("asc", asc, _asc), ("desc", desc, _desc)):
+
+        @query(f"srt_{_way}_{_d}_whole", f"SELECT o_orderkey, {STATUS} AS s, row_number() OVER (ORDER BY {STATUS} {_way} {_nulls}, o_orderkey) AS place FROM orders", _d)
+        def _(db, by=_by):
+            """Every row with its place in the order, nulls included."""
+            o = db.orders
+            return db.select(o.o_orderkey, status(o).alias("s"), agg.row_number().over(window().order_by(by(status(o)), asc(o.o_orderkey))).alias("place")).from_(o)
+
+
 @query("srt_for_update", "SELECT o_orderkey FROM orders WHERE o_custkey = 7")
 def _(db):
     return db.select(db.orders.o_orderkey).from_(db.orders).where(cmp.eq(db.orders.o_custkey, 7)).for_update_of(db.orders).skip_locked()

@@ -32,3 +32,17 @@ def test_joins_meet_every_row(spark, sizes, how):
         assert orders == sizes["orders"] and any(r.l_orderkey is None for r in rows)
     if how.startswith(("right", "full")):
         assert any(r.o_orderkey is None for r in rows)
+
+
+@pytest.mark.parametrize("name", ["srt_asc_pg", "srt_desc_pg", "srt_asc_sqlite", "srt_desc_sqlite"])
+def test_order_places_every_null(spark, sizes, name):
+    rows = QUERIES[f"{name}_whole"](spark, DATA).orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1, sizes["orders"] + 1))
+    first = name in ("srt_desc_pg", "srt_asc_sqlite")
+    nulls = sum(r.s is None for r in rows)
+    assert 0 < nulls < len(rows) and all(r.s is None for r in (rows[:nulls] if first else rows[-nulls:]))
+
+
+def test_flagship_report_covers_all_orders(spark, sizes):
+    assert QUERIES["flagship_order_report_whole"](spark, DATA).count() == sizes["orders"]
+    assert "LIMIT" not in ORACLES["flagship_order_report_whole"]
