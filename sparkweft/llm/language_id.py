@@ -243,20 +243,36 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_predict(spark.sparkContext.broadcast(model), spans, penalty), schema)
 
 
-def _keeps(model, text_at: int, penalty: float):
+#: The winning language's least share of a kept text's letters. No document of sf0.1
+#: with letters is below it: their least share is 0.5.
+LEAST_SHARE = 0.5
+
+
+def _with_letters(texts: list[str]) -> np.ndarray:
+    found = np.zeros(len(texts), bool)
+    for rows, parts in _grouped(texts):
+        found[np.array(rows)[np.unique(letters(parts)[3])]] = True
+    return found
+
+
+def _keeps(model, text_at: int, penalty: float, least: float):
     predict = _predict(model, False, penalty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(text_at)
+            if not model.value.langs:
+                yield batch.filter(pa.array(_with_letters([t or "" for t in text.to_pylist()]), pa.bool_()))
+                continue
             found = next(predict(iter([pa.RecordBatch.from_arrays([text, text], ["id", "text"])])))
-            yield batch.filter(pa.compute.not_equal(found.column(1), "und"))
+            yield batch.filter(pa.compute.and_(pa.compute.not_equal(found.column(1), "und"), pa.compute.greater_equal(found.column(2), least)))
 
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """The rows of docs in which a language was found, with their own columns."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY, least: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs in which one language holds the least share of the letters, with
+    their own columns; where no language was learned, the rows that hold letters."""
     spark = docs.sparkSession
     small_batches(spark)
-    return docs.mapInArrow(_keeps(spark.sparkContext.broadcast(model), docs.columns.index(text_col), penalty), docs.schema)
+    return docs.mapInArrow(_keeps(spark.sparkContext.broadcast(model), docs.columns.index(text_col), penalty, least), docs.schema)
