@@ -4,8 +4,8 @@ A fingerprint of 64 bits is mapped to the bit counts of its 32 segments of two
 bits. The Manhattan distance of two such vectors is a lower bound of the Hamming
 distance, so fingerprints that link at `radius` bits lie within that Manhattan
 distance. The 32 coordinates are dealt into radius + 3 groups: two vectors within
-the radius differ in at most `radius` groups, and so agree in at least three. Each
-choice of three groups is a grid whose cells are the counts in these groups; a
+the radius differ in at most `radius` groups, and so agree in at least three (larger
+tables take finer grids: radius + 4 groups, four of them). Each choice of groups is a grid whose cells are the counts in these groups; a
 range join looks only inside cells, drops pairs by the Manhattan bound and
 verifies the rest bit by bit. No pair is lost, and no pair outside a cell is met.
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_or_empty
+from .common import arrow_kind, batches, importable, join_classes, keep_one, materialise, text_or_empty
 from .components import components
 
 BITS, EVEN = 64, 0x5555555555555555
@@ -74,8 +74,8 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp): the fingerprint of every row's whole text, as a signed long."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    importable(docs.sparkSession)
+    kind, _ = arrow_kind(docs, id_col)
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_fingerprints(width), f"id {kind}, fp long")
 
 
@@ -86,14 +86,20 @@ def thermometer(fp: Column) -> Column:
     return fp.bitwiseOR(high).bitwiseAND(F.lit(EVEN)).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(F.lit(EVEN)), 1))
 
 
-def grid_masks(radius: int) -> list[int]:
-    """One mask for each choice of three of radius + 3 groups of coordinates."""
-    groups = radius + 3
+def grid_masks(radius: int, agree: int = 3) -> list[int]:
+    """One mask for each choice of `agree` among radius + agree groups of coordinates."""
+    groups = radius + agree
     masks = [sum(3 << (2 * s) for s in range(32) if s * groups // 32 == g) for g in range(groups)]
-    signed = [sum(masks[g] for g in chosen) for chosen in combinations(range(groups), 3)]
+    signed = [sum(masks[g] for g in chosen) for chosen in combinations(range(groups), agree)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in signed]
 
 
+def agreement(n: int) -> int:
+    """How many groups a cell fixes: 3 (cells of some 14 coordinates), and finer grids,
+    with fewer rows in each cell, for more fingerprints. Every grid is exact."""
+    return 3 + (n > 1 << 22) + (n > 1 << 29)
+
+
 def _forest(fp: np.ndarray, warm: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect what is connected inside one cell."""
     left, out = np.arange(len(fp)), []
@@ -154,32 +160,39 @@ def _cells(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, agree: int = 3) -> DataFrame:
     """distinct (fp) -> (u, v): links that connect all that lies within the radius."""
-    small_batches(distinct.sparkSession, 100_000)
-    masks = F.array(*[F.lit(m) for m in grid_masks(radius)])
+    masks = F.array(*[F.lit(m) for m in grid_masks(radius, agree)])
     cells = (
         distinct.select("fp", thermometer(F.col("fp")).alias("warm"))
         .select("fp", "warm", F.posexplode(masks).alias("grid", "mask"))
         .select(F.xxhash64("grid", F.col("warm").bitwiseAND(F.col("mask"))).alias("cell"), "fp", "warm")
     )
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(radius), "u long, v long")
-    return found.distinct()
+    with batches(distinct.sparkSession, 100_000):
+        return materialise(found.distinct(), "links")
+
+
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (id, fp, ..) -> with component_id, the smallest id reachable, and group, the
+    smallest fingerprint reachable."""
+    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
+    size = distinct.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    linked = materialise(components(links(distinct.select("fp"), radius, agreement(size.classes))), "components")
+    least = linked.join(distinct, linked.node == distinct.fp).groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(least, "component").select("node", "component_id", F.col("component").alias("group"))
+    classes = distinct.join(named, distinct.fp == named.node, "left").select("fp", "n", F.coalesce("group", "fp").alias("group"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return join_classes(rows, materialise(classes, "classes"), "fp", "n", size.rows)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable by links."""
     rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
-    linked = materialise(components(materialise(links(distinct.select("fp"), radius), "links")), "components")
-    least = linked.join(distinct, linked.node == distinct.fp).groupBy("component").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "component").select("node", "component_id")
-    classes = distinct.join(named, distinct.fp == named.node, "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(classes, "fp").select("id", "fp", "component_id")
+    return _components(rows, radius).select("id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs with one document of each component: the one of the smallest id."""
-    found = simhash_components(docs, id_col, text_col, width, radius)
-    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__sh_id")).distinct()
-    return docs.join(drop.hint("merge"), F.col(id_col).eqNullSafe(F.col("__sh_id")), "left_anti").select(*docs.columns)
+    """The rows of docs with one row of each component: that of the smallest id."""
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("doc")).alias("both"), F.col(text_col))
+    rows = materialise(fingerprints(texts, "both", text_col, width).select("id.id", "id.doc", "fp"), "fingerprints")
+    return keep_one(docs, _components(rows, radius).select("id", "doc", "group"), id_col, text_col)
