@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: collision-counting hashing.
 
-Vectors are dealt into blocks of bounded size. Inner products become distances
+Vectors are dealt, once, into blocks of bounded size. Inner products become distances
 by one more component that lifts all vectors of a block to one length. Each of
 `projections` orthogonal random directions gives a sorted array of a block's projected
 values. A query opens in every array a window centred on its own projected
@@ -10,12 +10,14 @@ at least the threshold of arrays are candidates, and are verified with their
 original components in double precision. A query stops widening a block when
 it has enough candidates there.
 
-Queries are a stated set: they travel in blocks to the blocks of vectors, and
-each pair of blocks returns at most k rows per query, of which the best are
-taken by a window over the queries.
+Queries are a stated set. They are broadcast in runs of QUERY_RUN, and visit every block:
+vectors are shuffled once for each run and never copied, and a block returns at most k rows
+per query, of which the best are taken by a window over the queries. The arithmetic is the
+product of queries and vectors, at a small constant (see the README).
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part, neither as queries nor as candidates; fewer candidates
+components take no part, neither as queries nor as candidates, nor do those whose
+length isn't the most frequent one (of ties the greatest); fewer candidates
 than k are all returned; ties go to the smaller id; empty tables give empty
 results. Rows that repeat an id are candidates of their own, but never
 neighbours of that id.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import importable, materialise
 
 PROJECTIONS = 64
 #: Share of the arrays in which a candidate collides with the query.
@@ -37,7 +39,8 @@ THRESHOLD = 0.70
 SHARE, TIMES = 0.10, 8
 #: First window, in standard deviations of a projection, and its growth by level.
 WIDTH, GROWTH, LEVELS = 0.5, 1.15, 24
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors of a block (ranks have 16 bits), and queries that are broadcast at once.
+BLOCK, QUERY_RUN = 8192, 20_000
 
 
 def usable(vector: Column) -> Column:
@@ -82,8 +85,8 @@ class Index:
 
     def candidates(self, query: np.ndarray, wanted: int, threshold: int) -> np.ndarray:
         """Numbers of the vectors that collide often enough, at the first level
-        of virtual rehashing at which there are as many as wanted."""
-        n = len(self.vectors)
+        of virtual rehashing at which there are as many as wanted; all of them where the
+        widest windows don't find so many."""
         # A query of the block's length: inner products keep their order.
         centre = self.axes[:, :-1] @ (query * (self.radius / float(np.sqrt(query @ query))))
         found, level = {}, self.level  # starts where the last query ended
@@ -103,28 +106,24 @@ class Index:
                 level -= 1
         enough = [k for k, v in found.items() if len(v) >= wanted]
         if not enough:
-            return np.arange(n)
+            return np.arange(len(self.vectors))
         self.level = min(enough)
         return found[self.level]
 
 
-def _search(k: int, share: float, projections: int, threshold: float):
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        if not table.num_rows:
-            return np.zeros(0, np.int64), np.zeros((0, 0))
-        flat = table.column("vector").combine_chunks()
-        return table.column("id").to_numpy(), np.asarray(flat.flatten(), np.float64).reshape(table.num_rows, -1)
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    flat = table.column("vector").combine_chunks()
+    return table.column("id").to_numpy(), np.asarray(flat.flatten(), np.float64).reshape(table.num_rows, -1)
 
-    def run(queries: pa.Table, block: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not queries.num_rows or not block.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, vectors = matrix(block)
-        wanted_ids, wanted = matrix(queries)
+
+def _search(shared, k: int, share: float, projections: int, threshold: float):
+    def run(block: pa.Table) -> pa.Table:
+        ids, vectors = _matrix(block)
+        wanted_ids, wanted = shared.value
         index, out = Index(vectors, projections), []
         enough = max(TIMES * k, int(share * len(ids)))
         for q, query in zip(wanted_ids.tolist(), wanted):
-            at = index.candidates(query, enough, max(1, int(threshold * projections))) if len(ids) > enough else np.arange(len(ids))
+            at = index.candidates(query, enough, max(1, int(threshold * projections)))
             at = at[ids[at] != q]
             scores = vectors[at] @ query
             if len(at) > 2 * k:  # keeps ties with the last
@@ -134,23 +133,34 @@ def _search(k: int, share: float, projections: int, threshold: float):
             scores = np.array([np.dot(vectors[i], query) for i in at])
             best = np.lexsort((ids[at], -scores))[:k]
             out.append((np.full(len(best), q), ids[at][best], scores[best]))
-        return pa.table(dict(zip(names, (np.concatenate(c) for c in zip(*out)))))
+        return pa.table(dict(zip(["query_id", "vec_id", "score"], (np.concatenate(c) for c in zip(*out)))))
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, share: float = SHARE, run: int = QUERY_RUN) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows, found approximately."""
     spark = vectors.sparkSession
-    small_batches(spark, 10_000)
+    importable(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("is_query")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).first()
-    blocks, query_blocks = max(1, -(-counted.n // block)), max(1, -(-counted.q // QUERY_BLOCK))
-    candidates = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    queries = rows.where("is_query").select("id", "vector", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("part"))
-    # The stated queries, in blocks, visit every block of vectors.
-    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    received = candidates.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    found = sent.groupBy("block", "part").cogroup(received.groupBy("block", "part")).applyInArrow(_search(k, share, PROJECTIONS, THRESHOLD), "query_id long, vec_id long, score double")
+    sizes = rows.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).orderBy(F.desc("n"), F.desc("dims")).first()
+    empty = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    found = empty
+    if sizes is not None and sizes.q:
+        rows = rows.where(F.size("vector") == sizes.dims)
+        blocks, runs = max(1, -(-sizes.n // block)), -(-sizes.q // run)
+        # A block of 64 dimensions has 4 MB: the number of tasks is that of the blocks.
+        dealt = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).repartition(min(blocks, 100_000), "block")
+        queries = rows.where("is_query").select("id", "vector", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(runs)).alias("run"))
+        parts = []
+        for number in range(runs):
+            own = queries.where(F.col("run") == number).orderBy("id").select("id", "vector").toArrow()  # about QUERY_RUN rows
+            if own.num_rows:
+                shared = spark.sparkContext.broadcast(_matrix(own))
+                searched = dealt.groupBy("block").applyInArrow(_search(shared, k, share, PROJECTIONS, THRESHOLD), "query_id long, vec_id long, score double")
+                parts.append(materialise(searched, "nearest"))
+        found = parts[0]
+        for more in parts[1:]:
+            found = found.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
