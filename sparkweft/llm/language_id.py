@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import arrow_kind, batches, importable
 
 BUCKETS = 1 << 16
 BLOCK = 32
@@ -37,6 +37,10 @@ PENALTY = 12.0
 USES = 0.01
 SLICE = 1 << 19
 FAR = np.float32(-1e6)
+#: Languages of a model at most: its table has BUCKETS numbers for each.
+MOST_LANGS = 500
+#: Letters whose word scores and paths are held at once.
+AT_ONCE = 1 << 21
 #: First code points of ranges of scripts, and their scripts.
 RANGES = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -57,7 +61,7 @@ SCRIPTS = sorted({name for _, name in RANGES})
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: its lower case, or 0 if it is no letter; its script."""
     lower = np.zeros(0x110000, np.uint32)
-    for i in range(0x32000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -137,10 +141,13 @@ class Model:
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of all rows with a language and a text. Its size depends on the
-    number of languages only."""
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), text_col)
-    counted = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    number of languages only, of which there may be MOST_LANGS."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_col)
+    names = rows.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if names > MOST_LANGS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGS} languages: a model of them doesn't fit one table")
+    with batches(docs.sparkSession, 1000):
+        counted = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     table = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     if langs:
@@ -195,11 +202,22 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels[place[1], place[0]]
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their texts pass AT_ONCE bytes: the Viterbi arrays span a batch."""
+    for batch in batches:
+        size = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(text_at)).to_numpy(zero_copy_only=False)))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + AT_ONCE)))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _predict(model, spans: bool, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         n_lang = len(m.langs)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             scores, sizes, of = [], [], []
             for rows, parts in _grouped(texts) if n_lang else ():
@@ -237,8 +255,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(id, lang_pred, score, spans): spans name the first word, the number of
     words and the language; words are runs of letters, counted from 0."""
     spark = docs.sparkSession
-    small_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
+    importable(spark)
+    kind, _ = arrow_kind(docs, id_col)
     schema = f"id {kind}, lang_pred string, score double" + (", spans array<struct<first_word:long,words:long,lang:string>>" if spans else "")
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_predict(spark.sparkContext.broadcast(model), spans, penalty), schema)
 
@@ -259,7 +277,7 @@ def _keeps(model, text_at: int, penalty: float, least: float):
     predict = _predict(model, False, penalty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, text_at):
             text = batch.column(text_at)
             if not model.value.langs:
                 yield batch.filter(pa.array(_with_letters([t or "" for t in text.to_pylist()]), pa.bool_()))
@@ -274,5 +292,5 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penal
     """The rows of docs in which one language holds the least share of the letters, with
     their own columns; where no language was learned, the rows that hold letters."""
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     return docs.mapInArrow(_keeps(spark.sparkContext.broadcast(model), docs.columns.index(text_col), penalty, least), docs.schema)
