@@ -319,20 +319,56 @@ def test_lm_scores(spark, odd, empty):
     assert lm_scoring.lm_scores(empty, F.lit(False)).count() == 0
 
 
+def lm_tree(words, counts):
+    import xxhash
+
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    suffixes = np.array([lm_scoring.suffix(w) for w in words], np.uint16)
+    counts = np.array(counts, np.int64)
+    known = counts > 0
+    tree = lm_scoring.Tree.of(np.concatenate((np.bincount(suffixes[known], counts[known], lm_scoring.SUFFIXES), np.bincount(suffixes[known], minlength=lm_scoring.SUFFIXES))).astype(np.int64))
+    cells = tree.cells(hashes[known], suffixes[known])
+    tree.finish(np.concatenate((np.bincount(cells, counts[known], lm_scoring.CELLS), np.bincount(cells, minlength=lm_scoring.CELLS))).astype(np.int64))
+    return tree, hashes, suffixes, counts
+
+
 def test_model_is_a_distribution():
-    mass = np.full(lm_scoring.SYMBOLS, 2.0)
-    m = lm_scoring.Model(mass)
+    """Over all known words and one unknown the probabilities sum to 1, whatever the weights."""
     rng = np.random.default_rng(0)
-    m.class_rows += rng.normal(0, 0.1, m.class_rows.shape).astype(np.float32)
-    m.word_rows += rng.normal(0, 0.1, m.word_rows.shape).astype(np.float32)
-    symbols = np.arange(lm_scoring.SYMBOLS)
-    features = np.repeat(np.array([[5], [900], [4000]]), len(symbols), axis=1)
-    classes = m.classes(symbols)
-    own = np.flatnonzero(symbols < lm_scoring.VOCABULARY)
-    logits, words, _ = m.log_softmaxes(features, classes, own)
-    p = np.exp(logits[np.arange(len(symbols)), classes].astype(float))
-    p[own] *= np.exp(words[np.arange(len(own)), symbols[own] % lm_scoring.WITHIN])
-    assert p.sum() == pytest.approx(1, abs=1e-3)
+    words = sorted({bytes(rng.integers(97, 123, int(rng.integers(1, 7))).astype(np.uint8)) for _ in range(3000)} | {b"the", b" "})
+    tree, hashes, suffixes, counts = lm_tree([*words, b"\x00unknown"], [*rng.zipf(1.5, len(words)).clip(1, 10**6), 0])
+    model = lm_scoring.Model(tree)
+    for scale in (0, 0.5):
+        model.weights += rng.normal(0, scale, model.weights.shape).astype(np.float32)
+        total = 0.0
+        for start in range(0, len(hashes), 500):
+            some = np.arange(start, min(start + 500, len(hashes)))
+            tokens = np.stack((np.full(len(some), 5), np.full(len(some), 9), some), axis=1).ravel()
+            row = {"hashes": hashes.tobytes(), "suffixes": suffixes.tobytes(), "counts": counts.tobytes(), "tokens": lm_scoring.planes(tokens), "lengths": [3] * len(some), "held": [True] * len(some)}
+            prefix = row | {"tokens": lm_scoring.planes(np.array([5, 9])), "lengths": [2], "held": [True]}
+            whole = lm_scoring.log_by_text(model, lm_scoring.Encoded(tree, row)) - lm_scoring.log_by_text(model, lm_scoring.Encoded(tree, prefix))
+            total += np.exp(whole).sum()
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def lm_docs():
+    rng = random.Random(1)
+    en, de = EN.split(), DE.split()
+    return [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(60))) for i in range(300)] + [(1000 + i, t) for i, t in ODD] + [(None, "no id here"), (None, None)]
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(lm_docs(), "doc_id long, text string")
+    one, eight = (sorted(map(tuple, lm_scoring.lm_scores(docs.repartition(n), id_crc("doc_id") % 10 == 0).collect()), key=str) for n in (1, 8))
+    assert one == eight
+
+
+def test_lm_learns_nothing_from_held_out_texts(spark):
+    rows = lm_docs()
+    held = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    more = [*rows, (held, " ".join(f"new{k}word" for k in range(5000)) + " the fox")]
+    before, after = ({(r.id, r.n_tokens): r for r in lm_scoring.lm_scores(spark.createDataFrame(x, "doc_id long, text string"), id_crc("doc_id") % 10 == 0).collect()} for x in (rows, more))
+    assert all(after[k] == r for k, r in before.items()) and len(after) == len(before) + 1
 
 
 def test_pipeline(spark, tmp_path):
