@@ -16,6 +16,7 @@ Defined results: null text is the empty text, with no ids; rows may repeat.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -25,6 +26,7 @@ from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Letters, digits and white space among the characters that UNSURE lets pass.
 LETTER, DIGIT, SPACE = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r "
@@ -77,6 +79,8 @@ class Encoder:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         self.merger = Tokenizer(self.library.model)  # merges only: no pre-tokens, no special tokens
+        self.many = Tokenizer(self.library.model)  # parted by spaces
+        self.many.pre_tokenizer = WhitespaceSplit()
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.folds = spec["normalizer"] is not None
         self.pattern = re.compile(WORD_PATTERN if self.folds else BYTE_LEVEL_PATTERN)
@@ -89,8 +93,10 @@ class Encoder:
         byte_of = {c: b for b, c in enumerate(alphabet)}
         self.token_bytes = [b""] * (1 + max([*spec["model"]["vocab"].values(), *self.special.values()]))
         self.joined = np.zeros((256, 256), bool)
+        self.ends_word = np.zeros(len(self.token_bytes), bool)
         for token, i in spec["model"]["vocab"].items():
             inner = token.removesuffix(self.suffix) if self.suffix else token
+            self.ends_word[i] = inner is not token and inner != token
             own = bytes(byte_of[c] for c in inner)
             self.token_bytes[i] = own
             if len(own) > 1:
@@ -109,25 +115,35 @@ class Encoder:
     def _merge(self, pretokens: list[str]) -> list[bytes]:
         """The ids of each pre-token: all are cut at once, the fragments are
         encoded independently, and their ids concatenated."""
+        if self.suffix:
+            return self._merge_whole(pretokens)
         encoded = [p.encode("utf-8", "surrogatepass") for p in pretokens]
         data = b"".join(encoded)
         ends = np.cumsum([len(e) for e in encoded])
-        # An end-of-word suffix depends on what follows: such pre-tokens stay whole.
-        at = ends if self.suffix else np.union1d(self.cuts(data), ends)
+        at = np.union1d(self.cuts(data), ends)
         stops = at.tolist()
         shown = data.decode("latin-1").translate(self.alphabet)
         fragments = [shown[a:b] for a, b in zip([0, *stops[:-1]], stops)]
         several = list(dict.fromkeys(fragments))
-        ids = {f: e.ids for f, e in zip(several, self.merger.encode_batch_fast(several, add_special_tokens=False))}
+        ids = {f: array("I", e.ids).tobytes() for f, e in zip(several, self.merger.encode_batch_fast(several, add_special_tokens=False))}
         out, last = [], 0
         for n in (np.searchsorted(at, ends) + 1).tolist():
-            if n == last + 1:
-                out.append(array("I", ids[fragments[last]]).tobytes())
-            else:
-                out.append(array("I", [i for f in fragments[last:n] for i in ids[f]]).tobytes())
+            out.append(ids[fragments[last]] if n == last + 1 else b"".join([ids[f] for f in fragments[last:n]]))
             last = n
         return out
 
+    def _merge_whole(self, pretokens: list[str]) -> list[bytes]:
+        """With an end-of-word suffix, which depends on what follows, pre-tokens stay
+        whole; as only their last tokens bear it, many are encoded as one string."""
+        out = []
+        for at in range(0, len(pretokens), 500):
+            # Visible ASCII stands for itself in the alphabet.
+            shown = [p if p.isascii() and p.isprintable() else p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet) for p in pretokens[at : at + 500]]
+            ids = np.array(self.many.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+            data, stops = ids.tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops)]
+        return out
+
     def _known(self, pretokens) -> dict[str, bytes]:
         missing = self.pretokens_known.missing(pretokens)
         if missing:
@@ -148,15 +164,18 @@ class Encoder:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """A word stands between two single spaces, itself without one. In
         byte-level vocabularies the space before belongs to it, unless it begins
-        with NO_SPACE."""
+        with NO_SPACE. A word of letters alone is one pre-token."""
         missing = self.words_known.missing(words)
-        find, folds = self.pattern.findall, self.folds
+        find, folds, known = self.pattern.findall, self.folds, self.words_known.young
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            cut = [find(w if folds or w == "\n" else w[1:] if w[:1] == NO_SPACE else " " + w) for w in some]
+            plain = [w for w in some if w.isalpha()]
+            known.update(zip(plain, self._merge(plain if folds else [" " + w for w in plain])))
+            other = [w for w in some if not w.isalpha()]
+            cut = [find(w if folds or w == "\n" else w[1:] if w[:1] == NO_SPACE else " " + w) for w in other]
             ids = self._known({p for c in cut for p in c})
-            self.words_known.young.update((w, ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])) for w, c in zip(some, cut))
-        return self.words_known.young
+            known.update((w, ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])) for w, c in zip(other, cut))
+        return known
 
     def _other(self, text: str) -> bytes:
         """Ids of a text that words() doesn't take."""
@@ -179,24 +198,38 @@ class Encoder:
         """The ids of texts of any length."""
         out: list = [None] * len(texts)
         waiting, size = [], 0
-        for k, text in enumerate(texts):
-            words = self.words(text)
-            if words is None:
-                out[k] = np.frombuffer(self._other(text), "<u4")
-                continue
-            waiting.append((k, words))
-            size += len(words)
-            if size > 1 << 20 or k == len(texts) - 1:
-                self._encode_words(waiting, out)
-                waiting, size = [], 0
-        self._encode_words(waiting, out)
+        # Nothing here makes cycles, and the caches are large: collecting them is in vain.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for k, text in enumerate(texts):
+                words = self.words(text)
+                if words is None:
+                    out[k] = np.frombuffer(self._other(text), "<u4")
+                    continue
+                found = list(map(self.words_known.young.get, words))
+                if None not in found:
+                    out[k] = np.frombuffer(b"".join(found), "<u4")
+                    continue
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                waiting.append((k, found, gaps, [words[i] for i in gaps]))
+                size += len(words)
+                if size > 1 << 20:
+                    self._fill(waiting, out)
+                    waiting, size = [], 0
+            self._fill(waiting, out)
+        finally:
+            if collects:
+                gc.enable()
         return out
 
-    def _encode_words(self, waiting: list, out: list) -> None:
-        if waiting:
-            ids = self._learn(set().union(*[w for _, w in waiting]))
-            for k, words in waiting:
-                out[k] = np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4")
+    def _fill(self, waiting: list, out: list) -> None:
+        """Texts with words that were not known."""
+        known = self._learn(set().union(*[words for _, _, _, words in waiting]))
+        for k, found, gaps, words in waiting:
+            for i, word in zip(gaps, words):
+                found[i] = known[word]
+            out[k] = np.frombuffer(b"".join(found), "<u4")
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]

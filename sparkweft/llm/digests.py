@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, packing, passage_dedup, sharding, simhash
-from .common import id_crc, small_batches, table, text_or_empty
+from .common import id_crc, importable, table, text_or_empty
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _round_trip(path: str):
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    small_batches(spark)
+    importable(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
     return docs.mapInArrow(_round_trip(vocabulary or public_tokenizers.path("byte_bpe_50k.json")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -10,8 +10,8 @@ duplicates of the injected documents, and places the displaced documents by
 best fit. After each round the islands' elites migrate to the next island.
 
 Bins that end loosely filled are emptied and their documents packed again,
-together with those of all other shards, level by level, until one shard is left: the
-waste of a shard isn't the waste of the whole. No task holds more than a shard.
+together with those of all other shards, level by level: the waste of a shard isn't
+the waste of the whole. No task holds more than a shard.
 
 Defined results: null text is the empty text, which is one piece of the end token;
 rows that repeat are packed as often as they occur; empty tables give empty
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import materialise, small_batches, text_or_empty
+from .common import arrow_kind, batches, discard, importable, materialise, text_or_empty
 
 #: Documents of a shard; islands; rounds of migration; generations of a round; genomes of an island.
 SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 2, 6, 4
@@ -57,9 +57,8 @@ def _cut(path: str, capacity: int, end: int, kind: pa.DataType):
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's token pieces."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    importable(docs.sparkSession)
+    kind, arrow = arrow_kind(docs, id_col)
     named = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return named.mapInArrow(_cut(vocabulary, capacity, end, arrow), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -216,42 +215,57 @@ def _last(capacity: int):
     return run
 
 
+#: Tasks of a level at most; each takes several shards beyond that.
+TASKS = 10_000
+
+
 def pack_shards(items: DataFrame, shards: int, level: int, capacity: int) -> DataFrame:
-    """items (row, length) -> where each is placed, in bins of its shard."""
+    """items (row, length) -> where each is placed, in bins of its shard.
+
+    The tasks are numbered by shards and islands, not by bytes: these are few, and
+    the work on them is long."""
+    tasks = min(shards, TASKS)
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).alias("shard"))
-    first = materialise(dealt.groupBy("shard").applyInArrow(_first(capacity), PLACED), "packed")
+    first = materialise(dealt.repartition(tasks, "shard").groupBy("shard").applyInArrow(_first(capacity), PLACED), "packed")
     open_items = first.where("NOT done").select("row", "length", "shard")
     if open_items.isEmpty():
         return first
-    on_islands = open_items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-    state = items.sparkSession.createDataFrame([], STATE)
+    tasks = min(shards * ISLANDS, TASKS)
+    on_islands = open_items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).repartition(tasks, "shard", "island")
+    state, before = items.sparkSession.createDataFrame([], STATE), None
     for k in range(ROUNDS):
-        arriving = state.unionByName(state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int")))
+        arriving = state.unionByName(state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))).repartition(tasks, "shard", "island")
         state = materialise(on_islands.groupBy("shard", "island").cogroup(arriving.groupBy("shard", "island")).applyInArrow(_island(capacity, k), STATE), "islands")
-    best = state.groupBy("shard").agg(F.min_by("genome", F.struct("bins", -F.col("fit"), "island")).alias("genome"))
-    evolved = open_items.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_last(capacity), PLACED)
-    return materialise(first.where("done").unionByName(evolved), "packed")
+        if before is not None:
+            discard(before)
+        before = state
+    best = state.groupBy("shard").agg(F.min_by("genome", F.struct("bins", -F.col("fit"), "island")).alias("genome")).repartition(tasks, "shard")
+    evolved = open_items.repartition(tasks, "shard").groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_last(capacity), PLACED)
+    found = materialise(first.where("done").unionByName(evolved), "packed")
+    discard(first, state)
+    return found
 
 
 def pack(items: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFrame:
-    """items (row long, length long, 1 <= length <= capacity) -> (row, sequence_id, offset)."""
-    small_batches(items.sparkSession)
+    """items (row long, length long, 1 <= length <= capacity) -> (row, sequence_id, offset).
+
+    The levels end where one shard is left, where the loose bins meet their lower bound
+    ceil(tokens / capacity), or where a level saves no bin."""
     full = items.where(F.col("length") == capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out, rest, level, n = [full], items.where(F.col("length") < capacity), 0, None
-    while True:
-        left = rest.count()
-        if not left:
-            break
+    out, rest, level, tight_bins, before = [full], items.where(F.col("length") < capacity), 0, 0, None
+    while left := rest.count():
         shards = max(1, -(-left // shard))
         placed = pack_shards(rest, shards, level, capacity)
-        # Where nothing was won by the last level, the bins are final.
-        final = shards == 1 or n is not None and left > 0.8 * n
-        tight = F.lit(True) if final else F.col("fill") >= int(TIGHT * capacity)
-        number = F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft(F.col("shard"), 20) + F.col("bin")
-        out.append(placed.where(tight).select("row", number.alias("sequence_id"), "offset"))
+        tight = F.col("fill") >= int(TIGHT * capacity)
+        bins = placed.groupBy("shard", "bin").agg(F.max("fill").alias("fill"))
+        n = bins.agg(F.count_if(tight).alias("tight"), F.count_if(~tight).alias("loose"), F.coalesce(F.sum(F.when(~tight, F.col("fill"))), F.lit(0)).alias("tokens")).first()
+        total = tight_bins + n.tight + n.loose
+        final = shards == 1 or n.loose <= -(-n.tokens // capacity) or before is not None and total >= before
+        number = F.shiftleft(F.lit(level).cast("long"), 52) + F.shiftleft(F.col("shard"), 20) + F.col("bin")
+        out.append(placed.where(F.lit(True) if final else tight).select("row", number.alias("sequence_id"), "offset"))
         if final:
             break
-        rest, n, level = placed.where(~tight).select("row", "length"), left, level + 1
+        rest, level, tight_bins, before = placed.where(~tight).select("row", "length"), level + 1, tight_bins + n.tight, total
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
@@ -260,6 +274,7 @@ def pack(items: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFram
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, with its place: sequence_id and offset."""
-    cut = materialise(pieces(docs, vocabulary, capacity, end, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    with batches(docs.sparkSession, 4000):
+        cut = materialise(pieces(docs, vocabulary, capacity, end, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     placed = pack(cut.select("row", "length"), capacity)
     return cut.join(placed, "row").drop("row")
