@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,23 +111,27 @@ class Insert:
         if self.new is None:
             raise SyntaxError("nothing to insert")
         if self.action == "error":
-            return Written(old.unionByName(self.new), self.new)
+            new = self._unique(self.new, old)
+            return Written(old.unionByName(new), new)
         sets = [self.conflict] if self.conflict else [u for u in (t.primary_key, *t.unique) if u]
-        new, theirs = self.new, old
+        new, theirs = self.new.withColumn("__at", F.monotonically_increasing_id()), old
         if self.target_where is not None:
             theirs = old.alias(self.target.label).where(_true(self.target_where))
-        for key in sets:  # of rows of one statement the first stays
-            n = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-            unknown = F.lit(False)
-            for k in key:
-                unknown = unknown | F.col(k).isNull()
-            new = new.withColumn("__n", n).where((F.col("__n") == 1) | unknown).drop("__n")
+        for key in sets:
+            # Of rows of one statement the first stays; an update by several of them is an
+            # error, but in SQLite the last one's.
+            last = self.action == "update" and t.dialect == "sqlite"
+            n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__at") if last else F.asc("__at")))
+            once = F.col("__n") == 1
+            if self.action == "update" and not last:
+                once = F.when(once, True).otherwise(F.raise_error(F.lit(f"{t.name}: DO UPDATE would change a row of ({', '.join(key)}) twice")).cast("boolean"))
+            new = new.withColumn("__n", n).where(F.when(_unknown(key), True).otherwise(once)).drop("__n")
             if self.action == "nothing":
                 new = new.join(theirs.select(*key).dropna(), list(key), "left_anti")
         if self.action == "nothing":
             new = new.select(*t.names)
             return Written(old.unionByName(new), new)
-        key = self.conflict
+        key, new = self.conflict, new.drop("__at")
         both = old.alias(self.target.label).join(new.withColumn("__new", F.lit(True)).alias("excluded"), _same(self.target.label, "excluded", key), "left")
         hit = F.coalesce(F.col("excluded.__new"), F.lit(False)) & _true(self.target_where) & _true(self.update_where)
         changes = dict(self.assignments)
@@ -134,10 +139,32 @@ class Insert:
         fresh = new.join(theirs.select(*key).dropna(), list(key), "left_anti").select(*t.names)
         return Written(updated.drop("__hit").unionByName(fresh), updated.where("__hit").drop("__hit").unionByName(fresh))
 
+    def _unique(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        """The rows to insert; reading them fails where a key stands twice. A key that holds
+        a null equals none."""
+        t = self.target.table
+        for key in [u for u in (t.primary_key, *t.unique) if u]:
+            known = old.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).dropna().withColumn("__old", F.lit(True))
+            same = _all([F.col(k) == F.col(f"__k{i}") for i, k in enumerate(key)])
+            counted = new.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*key))).join(known, same, "left")
+            twice = ~_unknown(key) & (F.col("__old").isNotNull() | (F.col("__n") > 1))
+            message = F.concat(F.lit(f"{t.name}: duplicate key ({', '.join(key)}) = ("), F.concat_ws(", ", *[F.col(k).cast("string") for k in key]), F.lit(")"))
+            new = counted.where(F.when(twice, F.raise_error(message).cast("boolean")).otherwise(True)).select(*t.names)
+        return new
+
     def returning(self, *columns: str) -> DataFrame:
         return self.write().returning.select(*columns or self.target.table.names)
 
 
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _unknown(key: Iterable[str]) -> Column:
+    """Whether a part of the key is null."""
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+
+
 def _same(a: str, b: str, key: Iterable[str]) -> Column:
     out = F.lit(True)
     for k in key:
@@ -186,7 +213,8 @@ class Update:
         return replace(self, changes=_assigned(self.target, changes))
 
     def from_(self, other: Source) -> Update:
-        """UPDATE .. FROM: the condition joins the tables; of several matches one is taken."""
+        """UPDATE .. FROM: the condition joins the tables; of several matches the
+        smallest row of the other table is taken."""
         return replace(self, other=other)
 
     def where(self, condition: Any) -> Update:
@@ -203,7 +231,8 @@ class Update:
             both = left.join(self.other.frame.withColumn("__other", F.lit(True)).alias(self.other.label), hit_on, "left")
             hit = F.coalesce(F.col(f"{self.other.label}.__other"), F.lit(False))
             ident = [f"{self.target.label}.{k}" for k in (t.primary_key or ("__row",))]
-            n = F.row_number().over(Window.partitionBy(*ident).orderBy(F.lit(1)))
+            others = [F.col(f"`{self.other.label}`.`{c}`") for c in self.other.table.names]
+            n = F.row_number().over(Window.partitionBy(*ident).orderBy(*others))
             both = both.withColumn("__n", n).where("__n = 1")
         else:
             both, hit = base.alias(self.target.label), _true(self.condition)
