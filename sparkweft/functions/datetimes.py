@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime, timezone
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column
@@ -53,8 +53,8 @@ def localtimestamp() -> Expr:
 
 def clock_timestamp() -> Expr:
     """The wall clock at each call, unlike now(), which is one time per query."""
-    tick = F.udf(lambda: datetime.now(timezone.utc), "timestamp").asNondeterministic()
-    return Expr(tick(), "timestamptz", False, "scalar")
+    tick = F.java_method(F.lit("java.lang.System"), F.lit("currentTimeMillis"))
+    return Expr(F.timestamp_millis(tick.cast("long")), "timestamptz", False, "scalar")
 
 
 def date(value: Any) -> Expr:

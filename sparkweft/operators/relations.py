@@ -124,7 +124,8 @@ class Query:
     def _sort_keys(self) -> list[Column]:
         own = [o.column for o in self.orders]
         key = self.source.table.primary_key
-        return own + [self.source.c(k).column.asc() for k in key] or [F.lit(0)]
+        # Without a key all columns decide, so that every reading of a limit takes the same rows.
+        return own + [self.source.c(k).column.asc() for k in key or self.source.table.names]
 
     def df(self) -> DataFrame:
         """Parents with a column per relation; parents are limited before children are met."""
@@ -164,7 +165,7 @@ class Query:
             return self._joined(base, parent, single, names, "inner" if r.kind == "one" else "left")
         if self.count is not None:
             child = child.withColumn("__n", numbered).where((F.col("__n") > self.skip) & (F.col("__n") <= self.skip + self.count))
-        pairs = F.array_sort(F.collect_list(F.struct("__order", "__row")), lambda a, b: F.when(a["__order"] < b["__order"], -1).when(a["__order"] > b["__order"], 1).otherwise(0))
+        pairs = F.array_sort(F.collect_list(F.struct("__order", "__row")))  # without a comparator: sorted natively
         lists = child.groupBy(*names).agg(F.transform(pairs, lambda x: x["__row"]).alias(f"__rel_{r.name}"))
         out = self._joined(base, parent, lists, names, "left")
         kind = lists.schema[f"__rel_{r.name}"].dataType.simpleString()
@@ -172,7 +173,7 @@ class Query:
 
     def _order_parts(self) -> list[tuple[Column, bool, str]]:
         parts = [(o.value.column, o.descending, o.value.type) for o in self.orders]
-        return parts + [(self.source.c(k).column, False, self.source.table.column(k).type) for k in self.source.table.primary_key] or [(F.lit(0), False, "int4")]
+        return parts + [(self.source.c(k).column, False, self.source.table.column(k).type) for k in self.source.table.primary_key or self.source.table.names]
 
     def _joined(self, base: DataFrame, parent: Source, child: DataFrame, names: list[str], how: str) -> DataFrame:
         on = _equal([(parent.c(a).column, F.col(n)) for (a, _), n in zip(self.relation.keys, names)])
