@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import TEXTS, Expr, comparable, expr, made, require
+from .core import TEXTS, All, Either, Equal, Expr, Not, as_kind, comparable, expr, made, require
 
 
 def _pair(a: Any, b: Any, what: str) -> tuple[Expr, Expr]:
@@ -27,7 +27,8 @@ def _scalar(value: Any) -> Any:
 def _compare(name: str, make):
     def f(left: Any, right: Any) -> Expr:
         a, b = _pair(left, right, name)
-        return made([a, b], make(a.column, b.column), "bool")
+        whole = made([a, b], make(a.column, b.column), "bool")
+        return as_kind(Equal, whole) if name == "eq" else whole
 
     f.__name__ = name
     return f
@@ -115,7 +116,7 @@ def is_false(value: Any) -> Expr:
 def not_(value: Any) -> Expr:
     e = expr(value)
     require(e, ("bool",), "not")
-    return made([e], ~e.column, "bool")
+    return as_kind(Not, made([e], ~e.column, "bool"))
 
 
 def _flat(conditions: tuple, empty: bool, join) -> Expr:
@@ -126,7 +127,9 @@ def _flat(conditions: tuple, empty: bool, join) -> Expr:
         require(c, ("bool",), "condition")
     if not present:
         return Expr(F.lit(empty), "bool", False, "constant")
-    return made(present, reduce(join, [c.column for c in present]), "bool")
+    if len(present) == 1:
+        return present[0]
+    return as_kind(Either if not empty else All, made(present, reduce(join, [c.column for c in present]), "bool"))
 
 
 def all_(*conditions: Any) -> Expr:
@@ -166,37 +169,37 @@ def _operands(value: Any) -> tuple[list[Expr], Column]:
 
 
 def in_subquery(value: Any, query: Any) -> Expr:
-    """IN (SELECT ..), of one value or a tuple; the plan is a semi join."""
-    parts, _ = _operands(value)
-    return Subquery.condition("in", parts, query)
+    """IN (SELECT ..), of one value or a tuple, wherever a condition may stand."""
+    return Subquery.of("in", _operands(value)[0], query)
 
 
 def not_in_subquery(value: Any, query: Any) -> Expr:
     """NOT IN (SELECT ..): a null in the subquery leaves no row."""
-    parts, _ = _operands(value)
-    return Subquery.condition("not_in", parts, query)
+    return Subquery.of("not_in", _operands(value)[0], query)
 
 
 def exists(query: Any) -> Expr:
-    return Subquery.condition("exists", [], query)
+    return Subquery.of("exists", [], query)
 
 
 def not_exists(query: Any) -> Expr:
-    return Subquery.condition("not_exists", [], query)
+    return Subquery.of("not_exists", [], query)
 
 
 class Subquery(Expr):
-    """A condition that is planned as a join; see operators.select."""
+    """A condition on the rows of a query. Its column stands for itself anywhere; alone
+    or in a conjunction of WHERE it is planned as a join (operators.select)."""
 
     @staticmethod
-    def condition(mode: str, parts: list[Expr], query: Any) -> Subquery:
+    def of(mode: str, parts: list[Expr], query: Any) -> Subquery:
         types = query.types()
         if parts and len(parts) != len(types):
             raise TypeError(f"{len(parts)} operands against {len(types)} columns of a subquery")
         for p, t in zip(parts, types):
             if not comparable(p.type, t, p.dialect):
                 raise TypeError(f"{p.type} and {t} are not comparable")
-        s = Subquery(F.lit(True), "bool", mode in ("in", "not_in"), "scalar", None, parts[0].dialect if parts else "pg", None, tuple(parts))
+        kind = made(parts, F.lit(True), "bool").kind if parts else "scalar"
+        s = Subquery(query.condition_column(mode, parts), "bool", mode in ("in", "not_in"), "scalar" if kind == "constant" else kind, None, parts[0].dialect if parts else query.dialect, None, tuple(parts))
         object.__setattr__(s, "mode", mode)
         object.__setattr__(s, "query", query)
         return s

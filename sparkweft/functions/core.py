@@ -7,7 +7,7 @@ expression is built: comparability, arithmetic result types, boolean operands.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
@@ -157,6 +157,27 @@ class Expr:
         raise AttributeError(name)
 
 
+class All(Expr):
+    """A conjunction of its parts."""
+
+
+class Either(Expr):
+    """A disjunction of its parts."""
+
+
+class Not(Expr):
+    """The negation of its one part."""
+
+
+class Equal(Expr):
+    """The equality of its two parts."""
+
+
+def as_kind(kind: type, e: Expr) -> Expr:
+    """The same expression, known to be of this kind."""
+    return kind(*[getattr(e, f.name) for f in fields(e)])
+
+
 def literal(value: Any) -> Expr:
     kinds = {bool: "bool", int: "int8" if isinstance(value, int) and abs(value) >= 1 << 31 else "int4", float: "float8", str: "text", Decimal: "numeric", datetime: "timestamp", date: "date", bytes: "blob"}
     if value is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions.aggregates import Order
 from sparkweft.functions.compare import Subquery
-from sparkweft.functions.core import Expr, NotFound, SchemaError, comparable, expr
+from sparkweft.functions.core import All, Either, Equal, Expr, Not, NotFound, SchemaError, comparable, expr
 from sparkweft.plans.schema import Table, table_of
 
 CLAUSES = ("start", "from", "join", "where", "group", "having", "set", "order", "limit", "offset", "lock")
@@ -62,11 +63,19 @@ def sources_of(e: Any) -> set[str]:
 
 def conjuncts(e: Expr) -> list[Expr]:
     """The parts of a conjunction that holds subqueries; other conditions stay whole."""
-    if isinstance(e, Subquery) or not _holds_subquery(e):
+    if not isinstance(e, All) or not _holds_subquery(e):
         return [e]
     return [c for p in e.parts for c in conjuncts(p)]
 
 
+def _and(columns: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a & b, columns)
+
+
+def _or(columns: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a | b, columns)
+
+
 def _holds_subquery(e: Expr) -> bool:
     return isinstance(e, Subquery) or any(_holds_subquery(p) for p in e.parts)
 
@@ -337,8 +346,20 @@ class Select:
             base = self._filtered(base, c)
         return self._projected(base)
 
+    def _limits_source(self) -> bool:
+        """Whether each row of the source becomes one group of its own, in its key's order:
+        then LIMIT takes rows of the source before anything is joined."""
+        key = {(self.source.label, k) for k in self.source.table.primary_key}
+        return (
+            self.count is not None and bool(key) and {k.source for k in self.keys} == key
+            and bool(self.orders) and {o.value.source for o in self.orders if isinstance(o, Order)} == key and all(isinstance(o, Order) for o in self.orders)
+            and all(how == "left" for how, _, _, _ in self.joins) and not (self.condition or self.distinct_rows or self.distinct_on) and self.group_condition is None
+        )
+
     def _joined(self) -> DataFrame:
         base, seen = self.source.aliased(), [self.source]
+        if self._limits_source():
+            base = base.orderBy(*[o.column for o in self.orders]).limit((self.skip or 0) + self.count).alias(self.source.label)
         for how, target, on, using in self.joins:
             right = target.aliased()
             if using:
@@ -351,38 +372,132 @@ class Select:
             seen.append(target)
         return base
 
+    def _labels(self) -> set[str]:
+        return {s.label for s in self._scope()} if self.source else set()
+
+    def _ties(self) -> list[Expr]:
+        """Conditions of this subquery that refer to the query around it."""
+        own = self._labels()
+        return [c for c in self.condition if sources_of(c) - own]
+
+    def _plain(self) -> bool:
+        """Rows of FROM and WHERE alone decide whether there is a row."""
+        return not (self.keys or self.set_left or self.distinct_on or self.skip) and self.count != 0 and not any(e.kind in ("aggregate", "mixed") for e in self._selected())
+
     def _filtered(self, base: DataFrame, c: Expr) -> DataFrame:
+        """Alone in a conjunction a subquery becomes a semi or anti join, or is met
+        once for all rows; anywhere else it is an expression."""
         if not isinstance(c, Subquery):
             return base.where(c.column)
-        inner, q = c.query, c.query
-        outer = {s.label for s in self._scope()}
-        own = {s.label for s in q._scope()} if q.source else set()
-        tied = [x for x in q.condition if not isinstance(x, Subquery) and sources_of(x) & (outer - own)]
-        if tied:  # correlated: these conditions become the join's
-            inner = replace(q, condition=tuple(x for x in q.condition if x not in tied), items=(), orders=(), keys=())
+        q, ties = c.query, c.query._ties()
+        if ties:
+            simple = q._plain() and (q.count is None or not c.parts) and not any(_holds_subquery(t) for t in ties)
+            if not simple or c.mode == "not_in":
+                return base.where(c.column)
+            inner = replace(q, condition=tuple(x for x in q.condition if x not in ties), items=(), orders=(), count=None)
             frame = inner._joined()
             for x in inner.condition:
                 frame = inner._filtered(frame, x)
-            on = functools.reduce(lambda a, b: a & b, [x.column for x in tied])
-            if c.parts:
-                on = on & functools.reduce(lambda a, b: a & b, [p.column == i.column for p, i in zip(c.parts, q._selected())])
-            if c.mode == "not_in":
-                raise TypeError("NOT IN over a correlated subquery: use not_exists")
+            on = _and([x.column for x in ties] + [p.column == i.column for p, i in zip(c.parts, q._selected())])
             return base.join(frame, on, "left_semi" if c.mode in ("in", "exists") else "left_anti")
-        frame = inner.df()
         if c.mode in ("exists", "not_exists"):
-            found = frame.limit(1).agg((F.count(F.lit(1)) > 0).alias("__found"))
+            found = q.df().limit(1).agg((F.count(F.lit(1)) > 0).alias("__found"))
             return base.crossJoin(F.broadcast(found)).where(F.col("__found") if c.mode == "exists" else ~F.col("__found")).drop("__found")
-        frame = frame.toDF(*[f"__s{i}" for i in range(len(c.parts))])
+        if c.mode == "not_in" and len(c.parts) > 1:
+            return base.where(c.column)
+        frame = q.df().toDF(*[f"__s{i}" for i in range(len(c.parts))])
         equal = [p.column == F.col(f"__s{i}") for i, p in enumerate(c.parts)]
         if c.mode == "in":
-            return base.join(frame, functools.reduce(lambda a, b: a & b, equal), "left_semi")
-        if len(c.parts) > 1:  # a tuple is out if no part surely differs
-            return base.join(frame, functools.reduce(lambda a, b: a & b, [F.coalesce(e, F.lit(True)) for e in equal]), "left_anti")
+            return base.join(frame, _and(equal), "left_semi")
         facts = frame.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__s0").isNull()).alias("__nulls"))
         sure = (F.col("__n") == 0) | ((F.col("__nulls") == 0) & c.parts[0].column.isNotNull())
         return base.crossJoin(F.broadcast(facts)).where(sure).drop("__n", "__nulls").join(frame, equal[0], "left_anti")
 
+    # -- subqueries as expressions -----------------------------------------------------
+
+    def condition_column(self, mode: str, parts: list[Expr]) -> Column:
+        """EXISTS or IN with SQL's three values, for any place a condition may stand in.
+        Catalyst plans each as an existence join on the equalities it holds."""
+        if self.count == 0:
+            found = F.lit(False)
+        elif mode in ("exists", "not_exists"):
+            always = not self.keys and not self.set_left and not self.skip and any(e.kind in ("aggregate", "mixed") for e in self._selected())
+            found = F.lit(True) if always else replace(self, count=None, orders=())._found()
+        else:
+            found = self._contains(parts)
+        return ~found if mode.startswith("not_") else found
+
+    def _found(self, extra: Column | None = None) -> Column:
+        """Whether there is a row; extra: a condition on columns __s0, .. and the query around."""
+        frame, tied = self._rows_and_ties()
+        on = tied + ([extra] if extra is not None else [])
+        return frame.where(_and(on).outer()).exists() if on else frame.exists()
+
+    def _rows_and_ties(self) -> tuple[DataFrame, list[Column]]:
+        """The rows with columns __s0, .., and the conditions that tie them to the query around."""
+        names, ties = [f"__s{i}" for i in range(len(self._selected()))], self._ties()
+        if not ties:
+            return self.df().toDF(*names).alias("__sub"), []  # an alias hides the names below it
+        rest = tuple(c for c in self.condition if c not in ties)
+        if self._plain() and self.count is None:
+            inner = replace(self, condition=rest)
+            frame = inner._joined()
+            for c in rest:
+                frame = inner._filtered(frame, c)
+            return frame.select("*", *[e.column.alias(n) for e, n in zip(self._selected(), names)]), [t.column for t in ties]
+        if self.skip or self.distinct_on or not self.keys:
+            raise TypeError("a correlated subquery with LIMIT, OFFSET, DISTINCT ON or an aggregate of all rows can't be planned as a join")
+        # Groups within each tie: what the query around compares becomes a key.
+        own = self._labels()
+        pairs = []
+        for t in ties:
+            sides = sorted(t.parts, key=lambda e: bool(sources_of(e) - own)) if isinstance(t, Equal) else []
+            if not sides or sources_of(sides[0]) - own or sources_of(sides[1]) & own:
+                raise TypeError("a grouped subquery is tied to the query around by equalities")
+            pairs.append(sides)
+        keys = [replace(inner, name=f"__t{i}") for i, (inner, _) in enumerate(pairs)]
+        grouped = replace(self, condition=rest, keys=(*self.keys, *keys), items=(*self._selected(), *keys), orders=(), count=None)
+        frame = grouped.df().toDF(*names, *[k.name for k in keys])
+        return frame.alias("__sub"), [F.col(k.name) == outer.column for k, (_, outer) in zip(keys, pairs)]
+
+    def _contains(self, parts: list[Expr]) -> Column:
+        """IN: true if a row equals, null if one might, else false. A row might equal where
+        parts that aren't null on either side agree; only parts that may be null matter."""
+        if self._ties() and self.count is not None:
+            raise TypeError("IN over a correlated subquery with LIMIT can't be planned as a join")
+        columns = [F.col(f"__s{i}") for i in range(len(parts))]
+        equal = [p.column == c for p, c in zip(parts, columns)]
+        hit = self._found(_and(equal))
+        maybe = [i for i, (p, n) in enumerate(zip(parts, self.nullables())) if p.nullable or n]
+        wild = [set(some) for n in range(1, len(maybe) + 1) for some in itertools.combinations(maybe, n)]
+        unknown = [self._found(_and([parts[i].column.isNull() | columns[i].isNull() if i in some else equal[i] for i in range(len(parts))])) for some in wild if len(some) < len(parts) or self._ties()]
+        if len(maybe) == len(parts) and not self._ties():
+            # No part is left to compare: counts of the rows whose parts are null say it.
+            frame, _ = self._rows_and_ties()
+            every = range(len(parts))
+            for n in range(len(parts) + 1):
+                for null in itertools.combinations(every, n):
+                    rows = frame.agg(F.count_if(_and([columns[i].isNull() for i in null]) if null else F.lit(True))).scalar()
+                    unknown.append(_and([rows > 0, *[parts[i].column.isNull() for i in every if i not in null]]))
+        out = F.when(hit, F.lit(True))
+        return (out.when(_or(unknown), F.lit(None)) if unknown else out).otherwise(F.lit(False))
+
+    def _having(self, e: Expr, columns: list[Column]) -> Column:
+        """HAVING over the aggregated rows: its parts become columns of the aggregation."""
+        if isinstance(e, Subquery):
+            operands = []
+            for p in e.parts:
+                columns.append(p.column)
+                operands.append(replace(p, column=F.col(f"__h{len(columns) - 1}"), source=None, parts=()))
+            return e.query.condition_column(e.mode, operands)
+        if isinstance(e, (All, Either, Not)) and _holds_subquery(e):
+            own = [self._having(p, columns) for p in e.parts]
+            return ~own[0] if isinstance(e, Not) else _and(own) if isinstance(e, All) else _or(own)
+        if _holds_subquery(e):
+            raise TypeError("in HAVING a subquery stands alone or under AND, OR, NOT")
+        columns.append(e.column)
+        return F.col(f"__h{len(columns) - 1}")
+
     def _grouped(self, items: list[Expr]) -> tuple[list[Expr], set[str]]:
         """Checks the select list against the keys; the aliases whose whole primary key is grouped."""
         by_key = {k.source for k in self.keys if k.source}
@@ -418,14 +533,17 @@ class Select:
         if self.keys:
             self._grouped([e for e, _ in [*named, *extra] if e.kind != "window"])
             keys = {k.source or id(k): k for k in self.keys}
-            columns = []
-            for e, n in [*named, *extra]:
-                own = e.kind == "scalar" and not (e.source in keys or id(e) in keys) and not all(x.source in keys for x in _leaves(e))
-                columns.append((F.any_value(e.column) if own else e.column).alias(n))
-            having = [self.group_condition.column.alias("__having")] if self.group_condition is not None else []
-            out = base.groupBy(*[k.column for k in self.keys]).agg(*columns, *having)
-            out = out.select(*[F.col(f"`{n}`") for n in out.columns[len(self.keys) :]]) if len(set(out.columns)) == len(out.columns) else out.toDF(*[f"__k{i}" for i in range(len(self.keys))], *out.columns[len(self.keys) :]).drop(*[f"__k{i}" for i in range(len(self.keys))])
-            out = out.where("__having").drop("__having") if having else out
+            columns = [e.column.alias(n) for e, n in [*named, *extra]]
+            # Columns that depend on a grouped primary key are keys as well: they change no
+            # group, and the aggregation stays one by hashes.
+            dependent = {x.source: x.column for e, _ in [*named, *extra] if e.kind in ("scalar", "mixed") and not (e.source in keys or id(e) in keys) for x in _leaves(e, False) if x.source and x.source not in keys}
+            met: list[Column] = []
+            condition = self._having(self.group_condition, met) if self.group_condition is not None else None
+            having = [c.alias(f"__h{i}") for i, c in enumerate(met)]
+            out = base.groupBy(*[k.column for k in self.keys], *dependent.values()).agg(*columns, *having)
+            grouped = [f"__k{i}" for i in range(len(self.keys) + len(dependent))]
+            out = out.toDF(*grouped, *out.columns[len(grouped) :]).drop(*grouped)
+            out = out.where(condition).drop(*[f"__h{i}" for i in range(len(met))]) if condition is not None else out
         elif aggregated:
             out = base.agg(*[(F.any_value(e.column) if e.kind == "scalar" else e.column).alias(n) for e, n in [*named, *extra]])
         else:

@@ -942,3 +942,114 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM numbered GROUP BY user_id, s""")
 def _(db):
     return streams.sessions(db.events.frame)
+
+
+# -- subqueries wherever a condition may stand -----------------------------------------------
+
+
+def _few(db: Database):
+    c = db.customer
+    return db.select(c.c_custkey).from_(c).where(cmp.gt(c.c_acctbal, 5000.0))
+
+
+def _maybe_null(db: Database):
+    c = db.customer
+    return db.select(fn.nullif(c.c_custkey, 7).alias("k"), fn.nullif(c.c_nationkey, 3).alias("n")).from_(c).where(cmp.gt(c.c_acctbal, 5000.0))
+
+
+FEW = "SELECT c_custkey FROM customer WHERE c_acctbal > 5000"
+
+
+@query("cmp_or_subquery", f"SELECT o_orderkey FROM orders WHERE o_custkey IN ({FEW}) OR o_orderstatus = 'O'")
+def _(db):
+    o = db.orders
+    return db.select(o.o_orderkey).from_(o).where(cmp.or_(cmp.in_subquery(o.o_custkey, _few(db)), cmp.eq(o.o_orderstatus, "O")))
+
+
+@query("cmp_any_subquery", f"SELECT o_orderkey FROM orders WHERE o_custkey NOT IN ({FEW}) OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+def _(db):
+    o, l = db.orders, db.lineitem
+    large = db.select(l.l_orderkey).from_(l).where(cmp.eq(l.l_orderkey, o.o_orderkey), cmp.gt(l.l_quantity, 49.0))
+    return db.select(o.o_orderkey).from_(o).where(cmp.any_(cmp.not_in_subquery(o.o_custkey, _few(db)), cmp.exists(large)))
+
+
+@query("cmp_not_subquery", f"SELECT o_orderkey FROM orders WHERE NOT (o_custkey IN ({FEW}) AND o_totalprice > 100000)")
+def _(db):
+    o = db.orders
+    return db.select(o.o_orderkey).from_(o).where(cmp.not_(cmp.and_(cmp.in_subquery(o.o_custkey, _few(db)), cmp.gt(o.o_totalprice, 100000.0))))
+
+
+@query("cmp_in_subquery_three_values", f"SELECT s_suppkey, s_suppkey IN (SELECT nullif(c_custkey, 7) FROM customer WHERE c_acctbal > 5000) AS found FROM supplier")
+def _(db):
+    """Null where no row equals and one is null."""
+    s, c = db.supplier, db.customer
+    inner = db.select(fn.nullif(c.c_custkey, 7).alias("k")).from_(c).where(cmp.gt(c.c_acctbal, 5000.0))
+    return db.select(s.s_suppkey, cmp.in_subquery(s.s_suppkey, inner).alias("found")).from_(s)
+
+
+@query("cmp_not_in_subquery_tuple", "SELECT s_suppkey FROM supplier WHERE (s_suppkey, s_nationkey) NOT IN (SELECT nullif(c_custkey, 7), nullif(c_nationkey, 3) FROM customer WHERE c_acctbal > 5000)")
+def _(db):
+    s = db.supplier
+    return db.select(s.s_suppkey).from_(s).where(cmp.not_in_subquery((s.s_suppkey, s.s_nationkey), _maybe_null(db)))
+
+
+@query("cmp_case_subquery", f"SELECT o_orderkey, CASE WHEN o_custkey IN ({FEW}) THEN 'rich' ELSE 'other' END AS v FROM orders")
+def _(db):
+    o = db.orders
+    return db.select(o.o_orderkey, fn.case().when(cmp.in_subquery(o.o_custkey, _few(db)), "rich").else_("other").alias("v")).from_(o)
+
+
+def _busy(db: Database, least: int):
+    o, c = db.orders, db.customer
+    return db.select(o.o_custkey).from_(o).where(cmp.eq(o.o_custkey, c.c_custkey)).group_by(o.o_custkey).having(cmp.gt(agg.count(o.o_orderkey), least))
+
+
+@query("cmp_exists_having", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey GROUP BY o_custkey HAVING count(o_orderkey) > 10)")
+def _(db):
+    return db.select(db.customer.c_custkey).from_(db.customer).where(cmp.exists(_busy(db, 10)))
+
+
+@query("cmp_not_exists_having", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey GROUP BY o_custkey HAVING count(o_orderkey) > 10)")
+def _(db):
+    return db.select(db.customer.c_custkey).from_(db.customer).where(cmp.not_exists(_busy(db, 10)))
+
+
+@query("cmp_exists_correlated_limit", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000 LIMIT 1)")
+def _(db):
+    o, c = db.orders, db.customer
+    return db.select(c.c_custkey).from_(c).where(cmp.exists(db.select(o.o_orderkey).from_(o).where(cmp.eq(o.o_custkey, c.c_custkey), cmp.gt(o.o_totalprice, 200000.0)).limit(1)))
+
+
+@query("agg_having_subquery", f"SELECT o_custkey, count(o_orderkey) AS n FROM orders GROUP BY o_custkey HAVING o_custkey IN ({FEW}) OR count(o_orderkey) > 15")
+def _(db):
+    o = db.orders
+    return db.select(o.o_custkey, agg.count(o.o_orderkey).alias("n")).from_(o).group_by(o.o_custkey).having(cmp.or_(cmp.in_subquery(o.o_custkey, _few(db)), cmp.gt(agg.count(o.o_orderkey), 15)))
+
+
+@query("agg_having_exists_empty", "SELECT o_custkey, count(o_orderkey) AS n FROM orders GROUP BY o_custkey HAVING EXISTS (SELECT 1 FROM customer WHERE c_custkey < 0)")
+def _(db):
+    o, c = db.orders, db.customer
+    return db.select(o.o_custkey, agg.count(o.o_orderkey).alias("n")).from_(o).group_by(o.o_custkey).having(cmp.exists(db.select(c.c_custkey).from_(c).where(cmp.lt(c.c_custkey, 0))))
+
+
+@query("joi_on_subquery", f"SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey AND o_custkey IN ({FEW})")
+def _(db):
+    o, c = db.orders, db.customer
+    return db.select(o.o_orderkey, c.c_custkey).from_(o).join(c, cmp.and_(cmp.eq(o.o_custkey, c.c_custkey), cmp.in_subquery(o.o_custkey, _few(db))))
+
+
+@query("dml_delete_in_subquery", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN ({FEW})")
+def _(db):
+    return dml.delete(db.orders).where(cmp.in_subquery(db.orders.o_custkey, _few(db))).write().result.select("o_orderkey", "o_custkey")
+
+
+@query("dml_update_not_in_subquery", f"SELECT o_orderkey, CASE WHEN o_custkey NOT IN ({FEW}) THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(db):
+    return dml.update(db.orders).set({"o_orderstatus": "X"}).where(cmp.not_in_subquery(db.orders.o_custkey, _few(db))).write().result.select("o_orderkey", "o_orderstatus")
+
+
+@query("rel_where_subquery", f"SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey IN ({FEW}) GROUP BY c_custkey")
+def _(db):
+    c = db.customer
+    found = Query(c).where(cmp.in_subquery(c.c_custkey, _few(db))).with_(many("orders", c, db.orders)).df()
+    return found.select("c_custkey", F.size("orders").cast("long").alias("n"))
