@@ -53,7 +53,9 @@ def chunked(docs: DataFrame, text_col: str, modulus: int, long_bytes: int, name:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, long_bytes: int = 200) -> DataFrame:
-    """docs with the columns n_lines, removed_chunks, removed_lines and clean_text."""
+    """docs with the columns n_lines, removed_chunks, removed_lines and clean_text, which
+    replace columns of the same name."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "removed_chunks", "removed_lines", "clean_text")])
     text = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text).alias(DOC))
     # The outer form, as no text is without chunks: for the inner one the optimizer

@@ -38,7 +38,9 @@ def windows(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
 
 
 def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50) -> DataFrame:
-    """docs with the columns n_lines, removed_passages, removed_lines and clean_text."""
+    """docs with the columns n_lines, removed_passages, removed_lines and clean_text, which
+    replace columns of the same name."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "removed_passages", "removed_lines", "clean_text")])
     text = text_or_empty(text_col)
     found = materialise(windows(docs, id_col, text_col, words), "passages")
     place = F.struct(F.col("id").isNull().alias("null_id"), "id", DOC, "pos", "last")
