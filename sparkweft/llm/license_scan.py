@@ -6,7 +6,8 @@ of the same two words in templates: all of them vote. A hit votes for the diagon
 that lie side by side (a word more, a word less) are merged, and the spans are
 verified against the text: both words of each vote are compared, and a template
 counts only where enough of its distinct places were hit one after the other, in the
-template's order, within a window of SPREAD times its length.
+template's order, within a window of SPREAD times its length; of spans that overlap
+those of the greatest coverage stay.
 
 Hashes that no template holds are dropped inside the scan of the texts, so no
 row per word is ever shuffled, as long as the templates have at most MOST_PLACES
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -125,13 +127,40 @@ def in_order(votes: list[tuple[int, int]], longest: int) -> tuple[int, int, int]
 VERIFIED = "ls_row long, label string, is_base boolean, start long, stop long, votes long, coverage double"
 
 
+def best_of(spans: list[tuple]) -> list[tuple]:
+    """spans: (label, start, stop, votes, coverage). Those that overlap none of a greater
+    coverage: licenses that differ in a word share most of their places."""
+    kept, taken = [], []  # taken: disjoint, sorted
+    for _, level in groupby(sorted(spans, key=lambda x: -x[4]), key=lambda x: x[4]):
+        own = []
+        for span in level:
+            k = bisect_left(taken, (span[2],))
+            if not k or taken[k - 1][1] <= span[1]:
+                own.append(span)
+        kept += own
+        for start, stop in sorted(x[1:3] for x in own):
+            k = bisect_left(taken, (start,))
+            if k and taken[k - 1][1] > start:
+                k -= 1
+                start = taken[k][0]
+            end = k
+            while end < len(taken) and taken[end][0] < stop:
+                stop = max(stop, taken[end][1])
+                end += 1
+            taken[k:end] = [(start, stop)]
+    return kept
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for row, label, n_template, n_places, votes in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            hit, first, last = in_order([(v["pos"], v["place"]) for v in votes], int(SPREAD * n_template) + SHIFT)
-            if hit >= COVERAGE * n_places:
-                rows.append((row, label, False, first, last + 2, hit, hit / n_places))
+        for row, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            spans = []
+            for run in runs:
+                hit, first, last = in_order([(v["pos"], v["place"]) for v in run["hits"]], int(SPREAD * run["n_template"]) + SHIFT)
+                if hit >= COVERAGE * run["n_places"]:
+                    spans.append((run["label"], first, last + 2, hit, hit / run["n_places"]))
+            rows += [(row, label, False, start, stop, votes, coverage) for label, start, stop, votes, coverage in best_of(spans)]
         types = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         columns = list(zip(*rows)) or [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["ls_row", "label", "is_base", "start", "stop", "votes", "coverage"])
@@ -172,7 +201,7 @@ def license_spans(docs: DataFrame, text_col: str = "text", templates: dict[str,
         .groupBy("ls_row", "template", "label", "n_template", "n_places", "run")
         .agg(F.flatten(F.collect_list("hits")).alias("hits"))
         .where(F.size(F.array_distinct(F.transform("hits", lambda h: h["place"]))) >= COVERAGE * F.col("n_places"))
-        .select("ls_row", "label", "n_template", "n_places", "hits")
+        .groupBy("ls_row").agg(F.collect_list(F.struct("label", "n_template", "n_places", "hits")).alias("runs"))
     )
     return scanned.drop("__ls_hits"), exact.unionByName(merged.mapInArrow(_verified, VERIFIED))
 
