@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm import exact_dedup as exact
-from sparkweft.llm import language_id, near_dedup, packing
+from sparkweft.llm import language_id, near_texts, packing
 from sparkweft.llm.common import id_crc, materialise, table
 
 
@@ -28,8 +28,9 @@ def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word shingles at Jaccard 0.8 the document with the smallest doc_id stays."""
-    return near_dedup.near_dedup(docs)
+    """Fingerprints under the segment-count grid give candidates, compared by five-word shingles: of each
+    group of texts linked at Jaccard 0.8 the document with the smallest doc_id stays."""
+    return near_texts.near_dedup(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
