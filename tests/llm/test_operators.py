@@ -363,6 +363,34 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     assert one == eight
 
 
+def test_lm_updates_until_nothing_is_gained(spark, monkeypatch):
+    """Words that follow each other: training ends where one more update gains next to nothing."""
+    rng, words = random.Random(2), [f"w{k}x" for k in range(60)]
+    rows = []
+    for i in range(300):
+        at, text = rng.randrange(60), []
+        for _ in range(50):
+            text.append(words[at])
+            at = (at * 7 + rng.randrange(3)) % 60
+        rows.append((i, " ".join(text)))
+    gains, move, train = [], lm_scoring.Model.move, lm_scoring.trained
+
+    def watched(blocks, tree):
+        moves = []
+        monkeypatch.setattr(lm_scoring.Model, "move", lambda self, *a: (moves.append(1), move(self, *a)) and None)
+        model = train(blocks, tree)
+        assert len(moves) > 2
+        seen = lm_scoring.summed(blocks, lm_scoring.observed(spark.sparkContext.broadcast(model))).reshape(-1, lm_scoring.WAYS)
+        counts, before = lm_scoring.hoped(blocks, model, seen)
+        move(model, seen, counts)
+        gains.append((lm_scoring.hoped(blocks, model, seen)[1] - before) / abs(before))
+        return model
+
+    monkeypatch.setattr(lm_scoring, "trained", watched)
+    assert lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).count() == 300
+    assert gains[0] < lm_scoring.TOLERANCE
+
+
 def test_lm_learns_nothing_from_held_out_texts(spark):
     rows = lm_docs()
     held = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 10 == 0)
